@@ -50,20 +50,27 @@ def cooccurrence(baskets: DataFrame, group: str, keys: list[str], items: str, mi
     names = [f"key_{i}" for i in range(len(keys))]
     base = baskets.select(F.col(group).alias("grp"), *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(items).alias("items")).filter("grp is not null")
     keyed = ["grp", *names]
-    exploded = base.select(*keyed, F.explode(F.array_distinct(F.transform("items", clean_name))).alias("item")).filter("item <> ''")
-    rows = materialise(exploded.distinct(), "basket-items")
-    total = base.select(*keyed).distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("baskets"))
-    single = rows.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together)
-    sizes = rows.groupBy(*keyed).agg(F.count(F.lit(1)).alias("n"))
-
-    def of(chosen: DataFrame) -> DataFrame:
-        chosen = chosen.select(*[F.col(c).alias(f"s_{c}") for c in keyed], "n")
-        return rows.join(chosen, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in keyed]).select(*keyed, "item", "n")
-
-    ordinary = of(sizes.filter(F.col("n").between(2, chunk))).groupBy(*keyed).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    pairs = ordinary.select("grp", F.expr(f"inline({_within('items')})"))
-    large = of(sizes.filter(F.col("n") > chunk)).join(single.select("grp", "item"), ["grp", "item"], "left_semi").select(*keyed, "item", "n")
-    pairs = pairs.unionByName(_pairs_of_chunks(large, keyed, chunk))
+    listed = base.select(*keyed, F.array_distinct(F.filter(F.transform("items", clean_name), lambda x: x.isNotNull() & (x != ""))).alias("items"))
+    listings = listed.select(*keyed, F.greatest(F.size("items"), F.lit(0)).alias("n")).groupBy(*keyed).agg(F.sum("n").alias("n"))
+    total = listings.groupBy("grp").agg(F.count(F.lit(1)).alias("baskets"))
+    some = listed.filter(F.size("items") > 0)
+    large_keys = materialise(listings.filter(F.col("n") > chunk).select(*[F.col(c).alias(f"l_{c}") for c in keyed]), "large-baskets")
+    is_large = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in keyed]
+    any_large = large_keys.limit(1).count() > 0
+    ordinary = some.join(large_keys, is_large, "left_anti") if any_large else some
+    # an ordinary basket lists at most `chunk` items over all its rows, so its list is bounded
+    sets = ordinary.groupBy(*keyed).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    sets = materialise(sets.select("grp", "items"), "baskets")
+    items = sets.select("grp", F.explode("items").alias("item"))
+    pairs = sets.filter(F.size("items") > 1).select("grp", F.expr(f"inline({_within('items')})"))
+    if any_large:
+        rows = materialise(some.join(large_keys, is_large, "left_semi").select(*keyed, F.explode("items").alias("item")).distinct(), "large-items")
+        items = items.unionByName(rows.select("grp", "item"))
+    single = items.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together)
+    if any_large:
+        sizes = rows.groupBy(*keyed).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(c).alias(f"l_{c}") for c in keyed], "n")
+        large = rows.join(sizes, is_large).join(single.select("grp", "item"), ["grp", "item"], "left_semi").select(*keyed, "item", "n")
+        pairs = pairs.unionByName(_pairs_of_chunks(large, keyed, chunk))
     together = pairs.groupBy("grp", "item_1", "item_2").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= min_together)
     one = single.select("grp", F.col("item").alias("item_1"), F.col("n").alias("baskets_1"))
     two = single.select("grp", F.col("item").alias("item_2"), F.col("n").alias("baskets_2"))
