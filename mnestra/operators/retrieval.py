@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mnestra.functions import text as T
 from mnestra.functions.timex import DAY_MS
-from mnestra.session import materialise
+from mnestra.session import materialise, spread
 
 ARMS = ("semantic", "bm25", "graph", "temporal")
 CAUSAL = ("caused_by", "causes", "enables", "prevents")
@@ -122,12 +122,14 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int, types: tuple[str, ...] |
     """
     asked = queries.select("qid", "bank_id", F.explode(T.query_terms("text")).alias("term"))
     wanted = asked.select("term").distinct()
-    lengths = [r[0] for r in wanted.select(F.length("term")).distinct().collect()]
-    terms = postings(nodes.filter(F.col("text").isNotNull()))
-    stats = nodes.filter(F.col("text").isNotNull()).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.terms("text"))).alias("mean_len"))
-    prefixes = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
-    cut = terms.select("node_id", "bank_id", "fact_type", "doc_len", "tf", F.explode(F.array_compact(prefixes)).alias("term")).join(wanted, "term", "left_semi")
-    matched = cut.groupBy("term", "node_id", "bank_id", "fact_type", "doc_len").agg(F.sum("tf").alias("tf"))
+    lengths = [r[0] for r in wanted.select(F.length("term")).distinct().collect()]  # lengths of words
+    terms = materialise(postings(spread(nodes.filter(F.col("text").isNotNull()).select("id", "bank_id", "fact_type", "text"))), "postings")
+    docs = terms.select("node_id", "doc_len").distinct().agg(F.sum("doc_len").alias("all_len"))
+    stats = nodes.filter(F.col("text").isNotNull()).agg(F.count(F.lit(1)).alias("n_docs")).join(F.broadcast(docs)).select("n_docs", (F.coalesce("all_len", F.lit(0)) / F.col("n_docs")).alias("mean_len"))
+    prefixes = F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    # every distinct word is cut once, however many texts it stands in
+    words = terms.select(F.col("term").alias("word")).distinct().select("word", F.explode(F.array_compact(prefixes)).alias("term")).join(wanted, "term", "left_semi")
+    matched = terms.withColumnRenamed("term", "word").join(words, "word").groupBy("term", "node_id", "bank_id", "fact_type", "doc_len").agg(F.sum("tf").alias("tf"))
     df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if types:
         matched = matched.filter(F.col("fact_type").isin(*types))
@@ -243,7 +245,7 @@ def fuse(arms: dict[str, DataFrame], k: int = 60, cap_per_source: int = 0) -> Da
 
 
 def recency(at: Column, now_ms: int) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 1 - (F.lit(now_ms) - at) / float(DAY_MS) / 365)), F.lit(0.5))
+    return F.when(at.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 1 - (F.lit(now_ms) - at) / float(DAY_MS) / 365)))
 
 
 def proximity(at: Column, first: Column, last: Column) -> Column:
@@ -303,8 +305,8 @@ def rerank(candidates: DataFrame, scorer, top_k: int = 10) -> DataFrame:
     document = F.concat_ws(" ", F.concat(F.lit("[Date: "), T.long_date(effective_ms()), F.lit(" ("), F.date_format(F.timestamp_millis(effective_ms()), "yyyy-MM-dd"), F.lit(")]")), F.when(F.col("context") != "", F.concat("context", F.lit(":"))), F.col("text"))
     logit = scorer(F.col("query_text"), document)
     scored = candidates.withColumn("_s", F.when(F.col("rrf_rank") <= top_k, F.coalesce(F.nanvl(1 / (1 + F.exp(-logit)), F.lit(0.0)), F.lit(None))))
-    there = F.count("_s").over(Window.partitionBy("qid")) > 0
-    return scored.filter(~there | F.col("_s").isNotNull()).withColumn("base", F.when(there, F.col("_s"))).drop("_s")
+    judged = scored.withColumn("_there", F.count("_s").over(Window.partitionBy("qid")) > 0)
+    return judged.filter(~F.col("_there") | F.col("_s").isNotNull()).withColumn("base", F.when(F.col("_there"), F.col("_s"))).drop("_s", "_there")
 
 
 def render(results: DataFrame, tag: str = "memories", preamble: str = "") -> DataFrame:

@@ -100,7 +100,7 @@ c AS (SELECT f.*, n.text, n.occurred_start AS os, n.occurred_end AS oe, n.mentio
              min(semantic) OVER w AS lo, max(semantic) OVER w AS hi, count(*) OVER w AS n_c
       FROM fused f JOIN memory_nodes n ON n.id = f.node_id JOIN asked a ON a.qid = f.qid WINDOW w AS (PARTITION BY f.qid)),
 p AS (SELECT *, 1 - 0.9::DOUBLE * (rrf_rank - 1) / greatest(n_c - 1, 1) AS base,
-             coalesce(least(1.0::DOUBLE, greatest(0.1::DOUBLE, 1 - ({NOW_MS} - coalesce(os, ma, oe)) / {D.DAY_MS}.0::DOUBLE / 365)), 0.5::DOUBLE) AS rec,
+             CASE WHEN coalesce(os, ma, oe) IS NULL THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.1::DOUBLE, 1 - ({NOW_MS} - coalesce(os, ma, oe)) / {D.DAY_MS}.0::DOUBLE / 365)) END AS rec,
              coalesce((os + oe) // 2, os, oe, ma) AS pt, (last_ms - first_ms) / 2.0::DOUBLE AS half,
              CASE WHEN pc >= 1 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE + ln(pc::DOUBLE) / 10)) ELSE 0.5::DOUBLE END AS prf,
              CASE WHEN semantic IS NULL OR hi - lo <= 0 THEN 0.5::DOUBLE ELSE (semantic - lo) / (hi - lo) END AS sem FROM c),

@@ -93,10 +93,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once a session, so that it need not be installed there."""
+    """Give this package to the executors, once a session, so that it need not be installed there.
+
+    Times are UTC throughout, so the session's zone is set to it as well.
+    """
     context = spark.sparkContext
     if getattr(context, "_mnestra_shipped", False):
         return
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="mnestra-code-"), "mnestra.zip")
     with zipfile.ZipFile(path, "w") as archive:
