@@ -28,3 +28,18 @@ def test_differences(spark):
 def test_empty(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [], [("x", 1, "p", 1, "")]) == {("x", 1): ("right", [])}
+
+
+def test_archive_differences_with_nulls_and_nothing(spark):
+    from mnestra.operators.diff import archive_differences
+
+    facts = "document_id string, fact_index long, text string, fact_type string, mentioned_at string, k0 string, l_there string"
+    nodes = "document_id string, fact_index long, text string, fact_type string, mentioned_at long, archive_id string, held string"
+    reports = "archive_id string, facts long, record_key string"
+    a = [("d", 0, "t", "world", "1970-01-01T00:00:00.0019Z", "", ""), ("d", 0, "t", "world", "1970-01-01T09:00:00.001+09:00", "", ""), ("d", 1, None, None, None, "", ""), ("d", 2, "x", "world", "garbage", "", ""), (None, 3, "n", "world", None, "", "")]
+    b = [("d", 0, "t", "world", 1, "a1", ""), ("d", 1, None, None, None, "a1", ""), ("d", 1, None, None, None, "a1", ""), ("d", 2, "x", "experience", None, "a1", ""), (None, None, "obs", "observation", None, None, "")]
+    r = [("a1", 3, ""), ("a1", 3, ""), ("a2", 0, ""), ("a3", None, ""), ("a4", 5, "")]
+    got = archive_differences(spark.createDataFrame(a, facts), spark.createDataFrame(b, nodes), spark.createDataFrame(r, reports)).collect()
+    assert {tuple(x) for x in got} == {("d", 2, "fact_type"), ("d", 2, "mentioned_at"), (None, 3, "missing_in_store"), ("a3", -1, "facts"), ("a4", -1, "facts")}
+    assert len(got) == 5
+    assert archive_differences(*[spark.createDataFrame([], s) for s in (facts, nodes, reports)]).collect() == []
