@@ -42,10 +42,13 @@ def corpus(seed):
     for i in range(60):
         rows.append((i, "".join(rng.choice(parts) if rng.random() < 0.5 else make(rng.randint(0, 30)) for _ in range(rng.randint(0, 6)))))
     rows += [(100, None), (101, ""), (102, "a" * 300), (103, "a" * 250 + "b"), (5, rows[5][1]), (104, rows[6][1]), (105, rows[6][1])]
+    for i, unit in enumerate(["a", "ab", "abc ", "한", "abcdefghijk", "xy" * 7 + "z"]):
+        long = unit * (400 // len(unit))
+        rows += [(200 + 10 * i, make(30) + long + make(30)), (201 + 10 * i, make(5) + long[3:200] + make(9) + long[:21]), (202 + 10 * i, make(9) + long[7:27] + make(9)), (203 + 10 * i, long[1:60])]
     return rows
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 50_000), (2, 50_000), (3, 2)])
+@pytest.mark.parametrize("seed,hot", [(1, 50_000), (2, 50_000), (3, 2), (4, 50_000)])
 def test_spans_equal_brute_force(spark, seed, hot):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as prefix", "1 as pos", "2 as mark")
@@ -54,3 +57,9 @@ def test_spans_equal_brute_force(spark, seed, hot):
 
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "doc_id long, text string"), 20).collect() == []
+
+
+def test_long_texts_of_one_character(spark):
+    rows = [(1, "a" * 20_000), (2, "b" + "a" * 300), (3, "c" * 5_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(shared_spans(df, 200)) == {1: 20_000, 2: 300}
