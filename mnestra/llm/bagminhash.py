@@ -93,11 +93,11 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, level_of: dict[int, int], re
     words, where = np.unique(flat, return_inverse=True)
     level = np.array([level_of.get(w, WEIGHT_LEVELS) for w in words.tolist()], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
-    out = np.empty((int((sizes > 0).sum()), registers))
+    out = np.empty((int((sizes > 0).sum()), registers), np.float32)
     for lo in range(0, registers, 4):
         some = np.arange(lo, min(lo + 4, registers))
         if len(words):
-            out[:, some] = np.minimum.reduceat(first_points(words, level, some)[where], begins, axis=0)
+            out[:, some] = np.minimum.reduceat(first_points(words, level, some).astype(np.float32)[where], begins, axis=0)
     return out
 
 
@@ -131,7 +131,7 @@ def _buckets(values: DataFrame, level_of, bands: int, rows: int) -> DataFrame:
             kind, field = kind[sizes > 0], field[sizes > 0]
             if not len(kind):
                 continue
-            signature = signatures(flat, sizes, level_of.value, bands * rows).view(np.uint64)
+            signature = signatures(flat, sizes, level_of.value, bands * rows).view(np.uint32).astype(np.uint64)
             for band in range(bands):
                 key = field + np.uint64(band)
                 for register in range(band * rows, (band + 1) * rows):
@@ -206,7 +206,7 @@ def _word_rows(values: DataFrame, level_of, threshold: float) -> DataFrame:
     return values.mapInArrow(run, "kind long, words array<long>, prefix int")
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 28, rows: int = 5, hot_bucket: int = 256) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256) -> tuple[DataFrame, DataFrame]:
     """Links between different values, and the records of each value.
 
     ``records(field_name, id, value)`` -> ``links(a, b)`` between kinds (classes
