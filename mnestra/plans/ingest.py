@@ -79,7 +79,7 @@ def _replies(t: Tables) -> DataFrame:
 @query(
     "i10_facts",
     """WITH f AS (SELECT document_id, fact_index, min(text) AS text, min(fact_type) AS fact_type FROM archive_facts GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY fact_index) - 1 AS i FROM f)
-SELECT document_id AS reply_id, i AS fact_index, text || ' | Involving: the team' AS text, CASE WHEN fact_type = 'experience' THEN 'experience' ELSE 'world' END AS fact_type, 'event' AS fact_kind, CASE WHEN i >= 1 THEN 1 ELSE 0 END AS causes FROM p""",
+SELECT document_id AS reply_id, i AS fact_index, text || ' | Involving: the team' AS text, CASE WHEN fact_type = 'experience' THEN 'experience' ELSE 'world' END AS fact_type, 'event' AS fact_kind, (CASE WHEN i >= 1 THEN 1 ELSE 0 END)::BIGINT AS causes FROM p""",
 )
 def facts(t: Tables) -> DataFrame:
     return I.parse_facts(_replies(t)).select("reply_id", "fact_index", "text", "fact_type", "fact_kind", F.size("causes").alias("causes"))
@@ -185,7 +185,7 @@ def newest(t: Tables) -> DataFrame:
 
 _BOUNDS = ", ".join(map(str, M.BOUNDS))
 _HIST = f"""smp AS (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS us FROM events WHERE value IS NOT NULL),
-hist AS (SELECT event_type, coalesce(list_position(list_transform([{_BOUNDS}], lambda b: us <= b), true), {len(M.BOUNDS) + 1}) - 1 AS bucket, count(*) AS n, sum(us)::BIGINT AS total, max(us) AS most FROM smp GROUP BY ALL)"""
+hist AS (SELECT event_type, coalesce(list_position(list_transform([{_BOUNDS}], lambda b: us <= b), true), {len(M.BOUNDS) + 1})::BIGINT - 1 AS bucket, count(*) AS n, sum(us)::BIGINT AS total, max(us) AS most FROM smp GROUP BY ALL)"""
 
 
 def _samples(t: Tables) -> DataFrame:

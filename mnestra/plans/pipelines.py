@@ -105,7 +105,7 @@ def files_touched(t: Tables) -> DataFrame:
 
 @query(
     "u7_prompts",
-    """SELECT id, to_json({'first': text, 'second': coalesce(context, '')}) AS twin, CASE WHEN mentioned_at IS NOT NULL THEN 'Mission: keep' || chr(10) || 'Event date: ' || strftime(make_timestamp(mentioned_at * 1000), '%A, %B %d, %Y') || chr(10) || chr(10) || text END AS extraction FROM memory_nodes""",
+    """SELECT id, to_json({'first': text, 'second': coalesce(context, '')})::VARCHAR AS twin, CASE WHEN mentioned_at IS NOT NULL THEN 'Mission: keep' || chr(10) || 'Event date: ' || strftime(make_timestamp(mentioned_at * 1000), '%A, %B %d, %Y') || chr(10) || chr(10) || text END AS extraction FROM memory_nodes""",
 )
 def prompts(t: Tables) -> DataFrame:
     from mnestra.operators.ingest import extraction_prompt

@@ -24,7 +24,7 @@ class Registry:
 
     def __call__(self, name: str, sql: str | None = None):
         def keep(f):
-            self.queries[name] = lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t))
+            self.queries[name] = lambda spark, sf_dir: _wide(f(lambda t: table(spark, sf_dir, t)))
             if sql:
                 self.oracle[name] = sql
             return f
@@ -32,6 +32,11 @@ class Registry:
         return keep
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, as SQL counts them."""
+    return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
+
+
 Tables = Callable[[str], DataFrame]
 
 
