@@ -217,11 +217,14 @@ def _spans_of_hot_groups(suffixes: DataFrame, k: int, span: int) -> DataFrame:
         for batch in batches:
             doc, mark = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             pos = batch.column("pos").to_numpy().astype(np.int64)
-            for i, context in enumerate(batch.column("context").to_pylist()):
-                hashes = gram_hashes(np.frombuffer(context.encode("utf-32-le"), np.uint32), span)
-                begin = pos[i] - min(pos[i], span - k) + np.arange(len(hashes))
+            contexts = batch.column("context").to_pylist()
+            for lo in range(0, len(contexts), 2000):
+                grams = [gram_hashes(np.frombuffer(c.encode("utf-32-le"), np.uint32), span) for c in contexts[lo : lo + 2000]]
+                owner = lo + np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                nth = np.concatenate([np.arange(len(g)) for g in grams])
+                begin = pos[owner] - np.minimum(pos[owner], span - k) + nth
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(hashes), doc[i])), pa.array(np.full(len(hashes), mark[i])), pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64))],
+                    [pa.array(doc[owner]), pa.array(mark[owner]), pa.array(begin.astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64))],
                     names=["doc_id", "mark", "begin", "window"],
                 )
 
