@@ -15,6 +15,15 @@ Words are weighed by document counts over the whole corpus; the table that is
 sent to the tasks holds the words that stand in at least 1/256 of the records,
 which are at most 256 times the mean number of distinct words of a record.
 
+The weighted bands alone guarantee nothing for the plain measure: records that
+share common words and differ in rare ones seldom meet in them.  So records also
+meet exactly, in every word of their prefixes: sets with a Jaccard similarity of
+at least t share one of their first n - ceil(t n) + 1 words in any fixed order,
+and two of their first n - ceil(t n) + 2.  The order is the rarest first, by
+counts in ``_CELLS`` cells of word hashes; a word more frequent than ``hot_word``
+is met in by pairs of words.  Sizes, places of the word and the parity of hashed
+words bound the overlap before a pair is handed on; no pair above t is lost.
+
 Equal values are one class and enter the bands once.  A band bucket with more
 than ``hot_bucket`` classes is not paired as it is: its classes are told apart
 exactly by their rarest words (two sets with a Jaccard similarity of at least t
@@ -43,6 +52,9 @@ WORD = re.compile(r"[^\W_]+")
 WEIGHT_LEVELS = 3  # weights 1, 2, 4 and 2 ** WEIGHT_LEVELS
 _COMMON = (1 / 4, 1 / 32, 1 / 256)  # a word in so large a share of the records weighs 1, 2 or 4, any other 8
 _CACHE_WORDS = 500_000
+_CELLS = 2**18
+_BLOCK = 2**20
+_PARITY, _SMALL = tuple(f"parity_{n}" for n in range(4)), 64
 
 
 class _Hashes(dict):
@@ -101,8 +113,8 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, level_of: dict[int, int], re
     return out
 
 
-def _word_levels(values: DataFrame) -> dict[int, int]:
-    """The weights (as powers of two) of the words that stand in many records."""
+def _word_levels(values: DataFrame) -> tuple[dict[int, int], np.ndarray]:
+    """The weights (as powers of two) of the words that stand in many records, and counts of words by cell of their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -117,7 +129,11 @@ def _word_levels(values: DataFrame) -> dict[int, int]:
     counted = materialise(counted.filter("times > 0 or records > 0"), "word-counts")
     records = counted.agg(F.sum("records")).first()[0] or 0
     common = counted.filter(F.col("times") >= _COMMON[-1] * max(records, 1)).select("word", "times").collect()
-    return {r["word"]: next(i for i, share in enumerate(_COMMON) if r["times"] >= share * records) for r in common}
+    levels = {r["word"]: next(i for i, share in enumerate(_COMMON) if r["times"] >= share * records) for r in common}
+    cells = counted.groupBy(F.pmod("word", F.lit(_CELLS)).cast("int").alias("cell")).agg(F.sum("times").alias("times")).toArrow()
+    often = np.zeros(_CELLS, np.int64)
+    often[cells["cell"].to_numpy()] = cells["times"].to_numpy()
+    return levels, often
 
 
 def _buckets(values: DataFrame, level_of, bands: int, rows: int) -> DataFrame:
@@ -206,7 +222,123 @@ def _word_rows(values: DataFrame, level_of, threshold: float) -> DataFrame:
     return values.mapInArrow(run, "kind long, words array<long>, prefix int")
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256) -> tuple[DataFrame, DataFrame]:
+def _prefix_keys(values: DataFrame, often, threshold: float, hot_word: int) -> DataFrame:
+    """The keys in which a record meets others exactly: the words of its prefix, and pairs of words instead of hot ones.
+
+    ``place`` is the size of the set and the place of the (first) word in it, ``parity_n`` are bits of which every word turns one:
+    256 for a large set, for a small one these folded into the first 64.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+
+        def out(keys: np.ndarray, of: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind[of]), pa.array(sizes[of] << 32 | at), *[pa.array(p[of].view(np.int64)) for p in parity]], names=["key", "kind", "place", *_PARITY])
+
+        for batch in batches:
+            kind, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            flat, sizes = word_sets(batch.column(1).take(pa.array(first)).to_pylist(), hashes)
+            kind, field, sizes = kind[sizes > 0], batch.column(2).to_numpy()[first][sizes > 0].view(np.uint64), sizes[sizes > 0]
+            if not len(kind):
+                continue
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            times = often.value[flat % _CELLS]
+            order = np.lexsort((flat, times, of))
+            words, times, at = _mix(flat[order].view(np.uint64)), times[order], np.arange(len(flat)) - begins[of]
+            turned, quarter = np.uint64(1) << (words >> np.uint64(58)), words & np.uint64(3)
+            quarter[np.repeat(sizes <= _SMALL, sizes)] = 0
+            parity = [np.bitwise_xor.reduceat(np.where(quarter == n, turned, np.uint64(0)), begins) for n in range(len(_PARITY))]
+            least = np.ceil(threshold * sizes - 1e-9).astype(np.int64)  # words shared with any partner
+            prefix = sizes - least + 1
+            inside, hot = at < prefix[of], times > hot_word
+            keys = _mix(words + field[of])
+            one = np.flatnonzero(inside & (~hot | (least[of] <= 1)))
+            yield out(keys[one], of[one], at[one])
+            two = np.flatnonzero(inside & hot)
+            follow = np.minimum(prefix, sizes - 1)[of[two]] - at[two]
+            part = (np.cumsum(follow) // _BLOCK) if len(two) else follow
+            for n in np.unique(part):
+                some, more = two[part == n], follow[part == n]
+                i = np.repeat(some, more)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+                yield out(_mix(keys[i] * np.uint64(0x9E3779B97F4A7C15) + words[j]), of[i], at[i])
+
+    return values.mapInArrow(run, f"key long, kind long, place long, {' long, '.join(_PARITY)} long")
+
+
+def _meet_exactly(sorted_rows: DataFrame, threshold: float, step_run: int = 256) -> DataFrame:
+    """From rows sorted by (key, kind): the pairs of kinds of a key that sizes, places and parities do not rule out."""
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum((x >> 32) - (x & 0xFFFFFFFF), (y >> 32) - (y & 0xFFFFFFFF)) >= needed(x, y)
+
+    def needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.ceil(threshold / (1 + threshold) * ((x >> 32) + (y >> 32)) - 1e-9).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            _, kinds, places, *parity = rows
+            good = fits(places[a], places[b])
+            a, b = a[good], b[good]
+            apart = (places[a] >> 32) + (places[b] >> 32) - 2 * needed(places[a], places[b])
+            turned = [(p[a] ^ p[b]).view(np.uint64) for p in parity]
+            both_large = np.minimum(places[a] >> 32, places[b] >> 32) > _SMALL
+            folded = np.bitwise_count(np.bitwise_xor.reduce(turned)).astype(np.int64)
+            good = np.where(both_large, sum(np.bitwise_count(x).astype(np.int64) for x in turned), folded) <= apart
+            a, b = kinds[a[good]], kinds[b[good]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def long_run(rows: list[np.ndarray], begin: int, end: int) -> Iterator[pa.RecordBatch]:
+            order = begin + np.argsort(rows[2][begin:end], kind="stable")
+            places, starts = np.unique(rows[2][order], return_index=True)
+            groups = np.split(order, starts[1:])
+            for u in range(len(places)):
+                for v in u + np.flatnonzero(fits(places[u], places[u:])):
+                    other = groups[v]
+                    wide = max(1, _BLOCK // len(other))
+                    for lo in range(0, len(groups[u]), wide):
+                        mine = groups[u][lo : lo + wide]
+                        a, b = np.repeat(mine, len(other)), np.tile(other, len(mine))
+                        yield pairs(rows, *((a[a < b], b[a < b]) if u == v else (a, b)))
+
+        def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            begin = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+            length = np.diff(np.concatenate([begin, [len(rows[0])]]))
+            for n in np.flatnonzero(length > step_run):
+                yield from long_run(rows, int(begin[n]), int(begin[n] + length[n]))
+            short = np.repeat(length <= step_run, length)
+            rows = [c[short] for c in rows]
+            for step in range(1, step_run):
+                near = np.flatnonzero(rows[0][step:] == rows[0][:-step])
+                if not len(near):
+                    break
+                yield pairs(rows, near, near + step)
+
+        waiting: list[list[np.ndarray]] = []  # rows of one key that goes on
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            if not len(new[0]):
+                continue
+            if waiting and new[0][-1] == waiting[0][0][0]:
+                waiting.append(new)
+                continue
+            held = [np.concatenate(c) for c in zip(*waiting, new)]
+            fresh = np.concatenate([[True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])])
+            held = [c[fresh] for c in held]
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield from whole([c[:end] for c in held])
+            waiting = [[c[end:] for c in held]]
+        if waiting:
+            held = [np.concatenate(c) for c in zip(*waiting)]
+            fresh = np.concatenate([[True], held[1][1:] != held[1][:-1]])
+            yield from whole([c[fresh] for c in held])
+
+    return sorted_rows.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256, hot_word: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Links between different values, and the records of each value.
 
     ``records(field_name, id, value)`` -> ``links(a, b)`` between kinds (classes
@@ -217,7 +349,8 @@ def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34,
     values = records.select("field_name", F.col("id").cast("long").alias("id"), "value").filter("id is not null and value is not null").withColumn("kind", F.xxhash64("field_name", "value"))
     values = spread(values)
     members = values.select("kind", "field_name", "id")
-    level_of = spark.sparkContext.broadcast(_word_levels(values))
+    levels, often = _word_levels(values)
+    level_of, often = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(often)
     sorted_rows = _buckets(values.select("kind", "value", F.xxhash64("field_name")), level_of, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "kind")
     met = materialise(_pairs_in_runs(sorted_rows, hot_bucket), "met")
     pairs = met.filter("not hot").select("a", "b")
@@ -227,7 +360,8 @@ def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34,
         words = _word_rows(texts, level_of, threshold)
         keyed = of_hot.join(words.select("kind", F.explode(F.slice("words", F.lit(1), F.col("prefix"))).alias("word")), "kind").select("bucket", "word", "kind")
         pairs = pairs.unionByName(keyed.alias("l").join(keyed.alias("r"), ["bucket", "word"]).filter("l.kind < r.kind").select(F.col("l.kind").alias("a"), F.col("r.kind").alias("b")))
-    pairs = materialise(pairs.distinct(), "pairs")
+    prefixes = _prefix_keys(values.select("kind", "value", F.xxhash64("field_name")), often, threshold, hot_word).repartition("key").sortWithinPartitions("key", "kind")
+    pairs = materialise(pairs.unionByName(_meet_exactly(prefixes, threshold)).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("kind")).union(pairs.select(F.col("b").alias("kind"))).distinct()
     texts = values.select("kind", "value").join(involved, "kind", "left_semi").dropDuplicates(["kind"])
     words = materialise(_word_rows(texts, level_of, threshold).select("kind", "words"), "words")

@@ -63,3 +63,24 @@ def test_registers_agree_as_often_as_the_weighted_jaccard_similarity():
     a, b = (first_points(words, level, np.arange(20_000)).min(axis=0) for level in (one, two))
     expected = np.minimum(2.0**one, 2.0**two).sum() / np.maximum(2.0**one, 2.0**two).sum()
     assert abs((a == b).mean() - expected) < 0.02
+
+
+@pytest.mark.parametrize("hot_word", [4096, 3])
+def test_boilerplate_in_a_third_of_all_rows_hides_no_pair(spark, hot_word):
+    rng = random.Random(11)
+    template, word = " ".join(f"t{i}" for i in range(12)), iter(range(10**6))
+    rare = lambda n: [f"r{next(word)}" for _ in range(n)]
+    rows = []
+    for n in range(150):  # 14 of 20 words in common
+        shared = rare(2)
+        rows += [("text", 6 * n + i, " ".join([template, *shared, *rare(3)])) for i in (0, 1)]
+        rows += [("text", 6 * n + i, " ".join([f"w{rng.randint(0, 60)}" for _ in range(8)] + rare(4))) for i in (2, 3, 4, 5)]
+    rows += [("text", 10_000 + i, x) for i, x in enumerate(["t0", "T0", "t0 t1", "t1 t0", "t1", template, template + " t0."])]
+    got = [tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, "field_name string, id long, value string"), 0.7, hot_word=hot_word).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7) and len(got) > 150
+
+
+def test_long_runs_of_one_key_are_met_whole(spark):
+    rows = [("text", n, f"a b c d e f g {'xyzuvw'[n % 6]} n{n} m{n % 50}") for n in range(700)]
+    got = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, "field_name string, id long, value string"), 0.7).collect()}
+    assert got == brute(rows, 0.7) and got
