@@ -39,6 +39,19 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(DoubleType())
+def ratio_from_floor(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``name_ratio`` where the characters both names hold allow ``NAME_FLOOR``, else null."""
+    matcher, out, held = difflib.SequenceMatcher(None), [], None
+    for x, y in zip(a, b):
+        if y != held:
+            matcher.set_seq2(y)
+            held = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio() if matcher.quick_ratio() >= NAME_FLOOR else None)
+    return pd.Series(out, dtype="float64")
+
+
 def could_reach(a: Column, b: Column, floor: float = NAME_FLOOR) -> Column:
     """Whether lengths alone allow the ratio; it is at most 2 min / (min + max)."""
     return 2.0 * F.least(F.length(a), F.length(b)) >= F.lit(floor) * (F.length(a) + F.length(b))
@@ -50,19 +63,14 @@ def resolution_score(ratio: Column, overlap: Column, nearby: Column, days: Colum
     return 0.5 * ratio + 0.3 * shared + 0.2 * F.coalesce(recent, F.lit(0.0))
 
 
-def trigrams(name: Column) -> Column:
-    padded = F.concat(F.lit("^"), name, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
-
-
-def resolve(mentions: DataFrame, entities: DataFrame, min_common: int = 2) -> DataFrame:
+def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """The entity of every mentioned name, or null for a new one.
 
     ``mentions(mention_id, bank_id, name, nearby array<string>, at)``,
     ``entities(id, bank_id, canonical_name, cooccurring, last_seen)`` ->
     (mention_id, entity_id, how, score).  An equal normalised name wins at once.
-    Other candidates of the bank share at least ``min_common`` trigrams; digits
-    must agree, the ratio must reach 0.5 and the score must exceed 0.6.  Of equal scores the
+    Otherwise every candidate of the bank is compared whose digits agree and whose
+    length allows the ratio, which must reach 0.5; the score must exceed 0.6.  Of equal scores the
     entity seen last comes first, then the least id.
     """
     known = entities.select(F.col("id").alias("entity_id"), "bank_id", normalise_name(F.col("canonical_name")).alias("known"), F.transform(F.coalesce("cooccurring", F.array().cast("array<string>")), normalise_name).alias("partners"), "last_seen")
@@ -71,10 +79,9 @@ def resolve(mentions: DataFrame, entities: DataFrame, min_common: int = 2) -> Da
     exact = top(same, ["mention_id"], [F.desc_nulls_last("last_seen"), F.col("entity_id")], 1, "_n").select("mention_id", "entity_id", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
     open_ = asked.join(exact, "mention_id", "left_anti")
     names = open_.select("bank_id", "name").distinct()  # every distinct name is compared once
-    grams = known.select("bank_id", "known").distinct().select("bank_id", "known", F.explode(trigrams(F.col("known"))).alias("gram"))
-    met = names.select("bank_id", "name", F.explode(trigrams(F.col("name"))).alias("gram")).join(grams, ["bank_id", "gram"]).groupBy("bank_id", "name", "known").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= min_common)
-    fits = met.filter(could_reach(F.col("name"), F.col("known")) & (digit_runs(F.col("name")) == digit_runs(F.col("known"))))
-    alike = fits.select("bank_id", "name", "known", name_ratio("known", "name").alias("ratio")).filter(F.col("ratio") >= NAME_FLOOR)
+    digits = lambda c: F.array_join(digit_runs(F.col(c)), ",").alias("digits")
+    met = names.select("bank_id", "name", digits("name")).join(known.select("bank_id", "known", digits("known")).distinct(), ["bank_id", "digits"]).filter(could_reach(F.col("name"), F.col("known")))
+    alike = met.select("bank_id", "name", "known", ratio_from_floor("known", "name").alias("ratio")).filter(F.col("ratio") >= NAME_FLOOR)
     pairs = open_.join(alike, ["bank_id", "name"]).join(known, ["bank_id", "known"])
     overlap = F.size(F.array_intersect("nearby", "partners"))
     days = F.abs(F.col("at") - F.col("last_seen")) / float(DAY_MS)

@@ -217,6 +217,13 @@ def test_entity_resolution(spark):
     assert {r["mention_id"]: (r["entity_id"], r["how"]) for r in df.collect()} == {"m1": (1, "exact"), "m2": (3, "similar"), "m3": (None, "new"), "m4": (None, "new"), "m5": (None, "new")}
 
 
+def test_short_names_resolve_without_common_trigrams(spark):
+    known = [(1, "b", "rob", ["gpu"], DAY), (2, "b", "김민서", ["gpu"], DAY), (3, "b", "ab", ["gpu"], DAY), (4, "b", "xyz", ["gpu"], DAY)]
+    asked = [(n, "b", n, ["gpu"], DAY) for n in ("bob", "김민수", "ac", "pqr")]
+    df = E.resolve(spark.createDataFrame(asked, "mention_id string, bank_id string, name string, nearby array<string>, at long"), spark.createDataFrame(known, "id long, bank_id string, canonical_name string, cooccurring array<string>, last_seen long"))
+    assert {r["mention_id"]: r["entity_id"] for r in df.collect()} == {"bob": 1, "김민수": 2, "ac": 3, "pqr": None}
+
+
 def test_name_ratio(spark):
     df = spark.createDataFrame([("ollama", "olama"), ("kitten", "sitting"), ("", "")], "a string, b string")
     got = [round(r[0], 4) for r in df.select(E.name_ratio("a", "b")).collect()]
