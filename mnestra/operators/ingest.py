@@ -27,9 +27,17 @@ def last_messages(messages: DataFrame, most: int = 300) -> DataFrame:
     return messages if not most else top(messages, ["session_id"], [F.desc("turn")], most, "_nth").drop("_nth")
 
 
+CHANNEL = r"(?s)<channel\b[^>]*>(.*?)</channel>"
+
+
+def strip_channel(text: Column) -> Column:
+    """The inner text of the first channel envelope; a text without one stays."""
+    return F.when(text.rlike(CHANNEL), F.trim(F.regexp_extract(text, CHANNEL, 1))).otherwise(text)
+
+
 def transcript_text(messages: DataFrame, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
     """(session_id, transcript, messages): rendered turns; sessions of under ten characters are left out."""
-    body = F.trim(T.strip_blocks(F.col("content"), list(MEMORY_TAGS)))
+    body = F.trim(strip_channel(T.strip_blocks(F.col("content"), list(MEMORY_TAGS))))
     rows = messages.filter(F.col("role").isin(*roles)).select("session_id", "turn", "role", body.alias("body")).filter("body <> ''")
     line = F.concat(F.lit("[role: "), "role", F.lit("]\n"), "body", F.lit("\n["), "role", F.lit(":end]"))
     joined = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.count(F.lit(1)).alias("messages"))
@@ -55,6 +63,110 @@ def compact_tool_input(fields: Column, field_max: int = 300, total_max: int = 15
     return F.when(F.length(F.to_json(cut)) > total_max, named).otherwise(cut)
 
 
+_MEMORY = re.compile("|".join(rf"<{tag}>.*?</{tag}>" for tag in MEMORY_TAGS), re.S)
+_CHANNEL = re.compile(CHANNEL)
+_BLOCKS = "role string, blocks string, raw_blocks string, calls array<struct<nth int, name string, file_path string, notebook_path string>>"
+
+
+def _compact(given, field_max: int, total_max: int) -> dict:
+    if not isinstance(given, dict):
+        return {}
+    cut = {k: f"{v[:field_max]}... (+{len(v) - field_max} chars)" if isinstance(v, str) and len(v) > field_max else v for k, v in given.items()}
+    if len(_dumps(cut)) <= total_max:
+        return cut
+    kept = {k: cut[k] for k in PRIORITY_KEYS if k in cut}
+    dropped = sorted(set(cut) - set(kept))
+    return kept | {"_truncated_fields": dropped} if dropped else kept
+
+
+def _dumps(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def _cleaned(value) -> str:
+    text = _MEMORY.sub("", value) if isinstance(value, str) else ""
+    inner = _CHANNEL.search(text)
+    return (inner.group(1) if inner else text).strip()
+
+
+def _texts(items: list) -> str:
+    said = [i["text"].strip() for i in items if isinstance(i, dict) and i.get("type") == "text" and isinstance(i.get("text"), str)]
+    return "\n".join(t for t in said if t)
+
+
+def content_blocks(content, role: str, field_max: float = 300, total_max: float = 1500, result_max: float = 2000) -> list[dict]:
+    """The text, tool calls (of the assistant) and tool results of a message's content, each within its cap."""
+    if isinstance(content, str):
+        content = [{"type": "text", "text": content}]
+    out = []
+    for block in content if isinstance(content, list) else []:
+        kind = block.get("type") if isinstance(block, dict) else None
+        if kind == "text":
+            text = _cleaned(block.get("text"))
+            if text:
+                out.append({"type": "text", "text": text})
+        elif kind == "tool_use" and role == "assistant":
+            name = block["name"] if isinstance(block.get("name"), str) else "unknown"
+            if not (name.startswith("mcp__") and any(m in name.split("__")[-1].lower() for m in T.OPERATIONAL)):
+                out.append({"type": "tool_use", "name": name, "input": _compact(block.get("input"), field_max, total_max)})
+        elif kind == "tool_result":
+            got = block.get("content")
+            text = got.strip() if isinstance(got, str) else _texts(got) if isinstance(got, list) else ""
+            if text:
+                by = block.get("tool_use_id")
+                out.append({"type": "tool_result", "tool_use_id": by if isinstance(by, str) else "", "content": text if len(text) <= result_max else text[:result_max] + "... (truncated)"})
+    return out
+
+
+def _message(line: str | None, caps: tuple[int, int, int]) -> tuple:
+    none = (None, None, None, None)
+    try:
+        entry = json.loads(line or "null")
+    except ValueError:
+        return none
+    if not isinstance(entry, dict) or entry.get("subtype") == "compact_boundary" or entry.get("type") not in (None, "user", "assistant"):
+        return none
+    message = entry["message"] if isinstance(entry.get("message"), dict) else entry
+    role, content = message.get("role"), message.get("content")
+    if role not in ("user", "assistant"):
+        return none
+    whole = lambda value: value.encode("utf-8", "replace").decode() if isinstance(value, str) else None
+    written = lambda blocks: whole(_dumps({"role": role, "content": blocks})) if blocks else None
+    calls = []
+    for nth, block in enumerate(content if isinstance(content, list) and role == "assistant" else []):
+        if isinstance(block, dict) and block.get("type") == "tool_use" and isinstance(block.get("input"), dict):
+            calls.append({"nth": nth, "name": whole(block.get("name")), "file_path": whole(block["input"].get("file_path")), "notebook_path": whole(block["input"].get("notebook_path"))})
+    uncapped = (float("inf"),) * 3
+    return role, written(content_blocks(content, role, *caps)), written(content_blocks(content, role, *uncapped)), calls
+
+
+def message_blocks(lines: DataFrame, caps: tuple[int, int, int] = (300, 1500, 2000)) -> DataFrame:
+    """(session_id, turn, role, blocks, raw_blocks, calls) of the messages in the JSON lines of session logs.
+
+    ``lines(session_id, turn, value)``; ``blocks`` is the message as JSON with
+    every block within ``caps`` (fields of a tool call, the whole call, a tool
+    result), ``raw_blocks`` the same without caps, null where no block is left.
+    Calls of tools that only operate the store are dropped.
+    """
+
+    @F.pandas_udf(_BLOCKS)
+    def parsed(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_message(v, caps) for v in values], columns=["role", "blocks", "raw_blocks", "calls"])
+
+    return lines.select("session_id", "turn", parsed("value").alias("m")).select("session_id", "turn", "m.*").filter("role is not null")
+
+
+def plan_sessions(lines: DataFrame, cwd: str = "", caps: tuple[int, int, int] = (300, 1500, 2000)) -> DataFrame:
+    """(session_id, transcript, messages, raw_tokens, capped_tokens, saved_ratio, files) of session logs, the caps applied block by block."""
+    found = message_blocks(lines, caps)
+    whole = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("turn", c)))), lambda x: x[c]), ","), F.lit("]"))
+    rows = found.filter("blocks is not null").groupBy("session_id").agg(whole("blocks").alias("transcript"), whole("raw_blocks").alias("raw"), F.count(F.lit(1)).alias("messages"))
+    calls = found.select("session_id", "turn", "role", F.explode("calls").alias("c")).select("session_id", "turn", "role", "c.*", F.lit(cwd).alias("cwd"))
+    raw, kept = T.count_words(F.col("raw")), T.count_words(F.col("transcript"))
+    sized = rows.select("session_id", "transcript", "messages", raw.alias("raw_tokens"), kept.alias("capped_tokens"), F.round(F.when((raw > 0) & (kept > 0), 1 - F.least(kept, raw) / raw), 6).alias("saved_ratio"))
+    return sized.join(touched_files(calls), "session_id", "left")
+
+
 def touched_files(calls: DataFrame, most: int = 20) -> DataFrame:
     """(session_id, files): the files that tool calls changed, in the order of the first touch.
 

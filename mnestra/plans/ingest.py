@@ -28,6 +28,12 @@ def turns(t: Tables) -> DataFrame:
     return I.split_turns(t("documents"))
 
 
+@query("i3_message_blocks")
+def blocks(t: Tables) -> DataFrame:
+    said = I.split_turns(t("documents")).withColumnRenamed("doc_id", "session_id")
+    return I.message_blocks(said.select("session_id", "turn", F.to_json(F.struct("role", "content")).alias("value"))).select("session_id", "turn", "role", "blocks")
+
+
 @query(
     "i2_transcripts",
     rf"""WITH {_TURNS}, k AS (SELECT doc_id, turn, role, trim(content) AS body FROM turns WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn DESC) <= 300)

@@ -199,6 +199,27 @@ def test_tool_input_and_files(spark):
     assert I.touched_files(df).first()["files"] == ["a.py", "b.py", "/o/e.nb"]
 
 
+def test_content_blocks_of_logs_are_parsed_and_capped(spark):
+    call = lambda name, **given: {"type": "tool_use", "name": name, "input": given}
+    entry = lambda role, content: json.dumps({"type": role, "message": {"role": role, "content": content}})
+    lines = [
+        entry("user", "<memories>x</memories> <channel id='1'> hi </channel>"),
+        entry("assistant", [{"type": "thinking", "thinking": "t"}, {"type": "text", "text": " ok "}, call("mcp__m__recall", query="q"), call("Write", file_path="/w/a.py", content="word " * 100, n=3)]),
+        entry("user", [{"type": "tool_result", "tool_use_id": "u", "content": [{"type": "text", "text": "r " * 2000}, {"type": "image"}]}, call("Write", file_path="/w/no.py"), "stray"]),
+        json.dumps({"role": "user", "content": '[{"type": "text"}]'}),
+        json.dumps({"type": "system", "subtype": "compact_boundary"}),
+        "not json",
+    ]
+    df = spark.createDataFrame([("s", n, x) for n, x in enumerate(lines)], "session_id string, turn int, value string")
+    got = {r["turn"]: json.loads(r["blocks"])["content"] for r in I.message_blocks(df).collect()}
+    text = lambda x: {"type": "text", "text": x}
+    written = ("word " * 100)[:300] + "... (+200 chars)"
+    result = ("r " * 2000).strip()[:2000] + "... (truncated)"
+    assert got == {0: [text("hi")], 1: [text("ok"), call("Write", file_path="/w/a.py", content=written, n=3)], 2: [{"type": "tool_result", "tool_use_id": "u", "content": result}], 3: [text('[{"type": "text"}]')]}
+    plan = I.plan_sessions(df, "/w").first()
+    assert plan["files"] == ["a.py"] and plan["messages"] == 4 and plan["raw_tokens"] > plan["capped_tokens"] and len(json.loads(plan["transcript"])) == 4
+
+
 def test_facts_are_parsed_and_renumbered(spark):
     reply = json.dumps({"facts": [{"what": "..."}, {"what": "A", "when": "N/A", "who": "me", "why": "because", "fact_type": "assistant"}, {"text": "B yesterday", "fact_kind": "event", "entities": ["e"] * 40, "causal_relations": [{"target_index": 0, "relation_type": "caused_by"}, {"target_index": 1, "relation_type": "caused_by"}, {"target_index": 2, "relation_type": "caused_by"}]}, {"what": "x" * 2001}]})
     df = spark.createDataFrame([("r1", reply, 10 * DAY), ("r2", "not json", 0), ("r3", "[]", 0), ("r4", json.dumps([{"what": "C"}]), None), ("r5", None, None)], "reply_id string, reply string, event_ms long")
