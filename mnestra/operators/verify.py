@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnestra.operators.graph import temporal_links
 from mnestra.operators.retrieval import top
 
 
@@ -67,6 +68,14 @@ def link_differences(stored: DataFrame, derived: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("extra")).unionByName(b.exceptAll(a).withColumn("side", F.lit("missing")))
 
 
+def temporal_differences(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``link_differences`` of the stored temporal links and those derived anew, both ends being nodes of an archive."""
+    held = nodes.filter("archive_id is not null")
+    ends = held.select("id").distinct()
+    stored = links.filter("link_type = 'temporal'").join(ends.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_semi").join(ends.withColumnRenamed("id", "to_node_id"), "to_node_id", "left_semi")
+    return link_differences(stored, temporal_links(held))
+
+
 def nth_copies(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """Number repeated rows, so that the n-th copies of two sides can be joined."""
     return top(rows, by, [F.col(order)], None, "nth")

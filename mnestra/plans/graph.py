@@ -481,6 +481,19 @@ def link_differences(t: Tables) -> DataFrame:
     return V.link_differences(stored, G.causal_links(t("archive_facts"), t("memory_nodes").filter("document_id is not null")))
 
 
+@query(
+    "v5_temporal_differences",
+    f"""WITH n AS (SELECT DISTINCT id, bank_id, fact_type, event_date FROM memory_nodes WHERE archive_id IS NOT NULL),
+a AS (SELECT DISTINCT from_node_id, to_node_id FROM links WHERE link_type = 'temporal' AND from_node_id IN (SELECT id FROM n) AND to_node_id IN (SELECT id FROM n)),
+p AS (SELECT x.id AS from_node_id, y.id AS to_node_id, greatest(0.3::DOUBLE, 1 - abs(x.event_date - y.event_date) / {D.DAY_MS}.0::DOUBLE) AS w FROM n x JOIN n y ON y.bank_id = x.bank_id AND y.fact_type = x.fact_type AND y.id <> x.id
+      AND y.event_date BETWEEN x.event_date - {D.DAY_MS} AND x.event_date + {D.DAY_MS}),
+b AS (SELECT from_node_id, to_node_id FROM p QUALIFY row_number() OVER (PARTITION BY from_node_id ORDER BY w DESC, to_node_id) <= 20)
+SELECT *, 'extra' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'missing' FROM (FROM b EXCEPT FROM a)""",
+)
+def temporal_differences(t: Tables) -> DataFrame:
+    return V.temporal_differences(t("memory_nodes"), t("links"))
+
+
 @query(
     "j12_ordinal_join",
     """WITH a AS (SELECT document_id, fact_index, row_id, row_number() OVER (PARTITION BY document_id, fact_index ORDER BY row_id) AS nth FROM archive_facts), b AS (SELECT document_id, fact_index, id, row_number() OVER (PARTITION BY document_id, fact_index ORDER BY id) AS nth FROM memory_nodes WHERE document_id IS NOT NULL)

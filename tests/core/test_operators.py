@@ -12,6 +12,7 @@ from mnestra.operators import ingest as I
 from mnestra.operators import metrics as M
 from mnestra.operators import retrieval as R
 from mnestra.operators import store as S
+from mnestra.operators import verify as V
 from mnestra.operators.components import connected_components
 
 DAY = 86_400_000
@@ -238,6 +239,13 @@ def test_entity_resolution(spark):
     assert {r["mention_id"]: (r["entity_id"], r["how"]) for r in df.collect()} == {"m1": (1, "exact"), "m2": (3, "similar"), "m3": (None, "new"), "m4": (None, "new"), "m5": (None, "new")}
 
 
+def test_temporal_links_are_compared_both_ways(spark):
+    nodes = [(1, "b", "world", 0, "a"), (2, "b", "world", 1000, "a"), (3, "b", "world", 9 * DAY, "a"), (4, "b", "world", 0, None)]
+    links = [(1, 2, "temporal"), (1, 3, "temporal"), (1, 4, "temporal"), (3, 1, "caused_by")]
+    got = V.temporal_differences(spark.createDataFrame(nodes, "id long, bank_id string, fact_type string, event_date long, archive_id string"), spark.createDataFrame(links, "from_node_id long, to_node_id long, link_type string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 3, "extra"), (2, 1, "missing")}
+
+
 def test_short_names_resolve_without_common_trigrams(spark):
     known = [(1, "b", "rob", ["gpu"], DAY), (2, "b", "김민서", ["gpu"], DAY), (3, "b", "ab", ["gpu"], DAY), (4, "b", "xyz", ["gpu"], DAY)]
     asked = [(n, "b", n, ["gpu"], DAY) for n in ("bob", "김민수", "ac", "pqr")]
