@@ -6,9 +6,9 @@ met in a null-safe full outer join on the key, and the normalised columns are
 compared into an array of (field, left value, right value).
 
 Defined results: two nulls are equal, a null and a value are not; null keys are
-keys like others; rows repeated on a side count once; where the rows of one key
-disagree on their own side, the column differs unless the other side holds the
-same least and greatest value and a null as well, if there is one.
+keys like others; rows repeated on a side count once; a column differs if any row
+of a key differs from any row of the other side, so always where the rows of one
+key disagree on their own side.
 """
 
 from __future__ import annotations
@@ -43,9 +43,11 @@ def differences(left: DataFrame, right: DataFrame, left_keys: list[Column], righ
     joined = a.join(b, on, "full_outer")
     found = []
     for i, field in enumerate(fields):
-        same_low = F.col(f"l{i}_low").eqNullSafe(F.col(f"r{i}_low"))
-        same = same_low & F.col(f"l{i}_high").eqNullSafe(F.col(f"r{i}_high")) & F.col(f"l{i}_null").eqNullSafe(F.col(f"r{i}_null"))
-        shown = F.struct(F.lit(field).alias("field"), F.when(same_low, F.col(f"l{i}_high")).otherwise(F.col(f"l{i}_low")).alias("left_value"), F.when(same_low, F.col(f"r{i}_high")).otherwise(F.col(f"r{i}_low")).alias("right_value"))
+        same_low, same_high = (F.col(f"l{i}_{end}").eqNullSafe(F.col(f"r{i}_{end}")) for end in ("low", "high"))
+        one = F.col(f"l{i}_low").eqNullSafe(F.col(f"l{i}_high"))  # with both ends the same, the one value of either side
+        same = same_low & same_high & one & F.col(f"l{i}_null").eqNullSafe(F.col(f"r{i}_null")) & ~(F.col(f"l{i}_null") & F.col(f"l{i}_low").isNotNull())
+        left_shown = F.when(same_low & ~same_high, F.col(f"l{i}_high")).otherwise(F.col(f"l{i}_low"))
+        shown = F.struct(F.lit(field).alias("field"), left_shown.alias("left_value"), F.when(same_low, F.col(f"r{i}_high")).otherwise(F.col(f"r{i}_low")).alias("right_value"))
         found.append(F.when(~same, shown))
     only_left, only_right = F.col("r_there").isNull(), F.col("l_there").isNull()
     side = F.when(only_left, "left").when(only_right, "right").otherwise("both")

@@ -43,3 +43,11 @@ def test_archive_differences_with_nulls_and_nothing(spark):
     assert {tuple(x) for x in got} == {("d", 2, "fact_type"), ("d", 2, "mentioned_at"), (None, 3, "missing_in_store"), ("a3", -1, "facts"), ("a4", -1, "facts")}
     assert len(got) == 5
     assert archive_differences(*[spark.createDataFrame([], s) for s in (facts, nodes, reports)]).collect() == []
+
+
+def test_rows_of_one_key_that_disagree(spark):
+    rows = lambda n, values: [("k", n, v, 1, "") for v in values]
+    left = rows(1, "abc") + rows(2, "ab") + rows(3, ["a", None]) + rows(4, "aa") + rows(5, [None, None])
+    right = rows(1, "ac") + rows(2, "ab") + rows(3, ["a", None]) + rows(4, "a") + rows(5, [None])
+    got = run(spark, left, right)
+    assert set(got) == {("k", 1), ("k", 2), ("k", 3)} and all([f[0] for f in fields] == ["a"] for _, fields in got.values())
