@@ -37,10 +37,14 @@ def confirmed_offsets(ranges: DataFrame) -> DataFrame:
     """(bank_id, session_id, confirmed) of ``(seq, from_offset, to_offset)`` rows: only ranges that join on count.
 
     A range counts if it begins at or before what is confirmed so far.  The order
-    matters, so the ranges of a session are folded in order.
+    matters, so the ranges of a session are folded in order.  With the columns
+    ``settled`` and ``byte_offset``, ``settled`` counts too where all that was
+    read before (the highest ``byte_offset``) is confirmed.
     """
-    rows = ranges.groupBy("bank_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "from_offset", "to_offset"))).alias("r"))
-    fold = "aggregate(r, 0L, (c, x) -> if(x.from_offset <= c, greatest(c, x.to_offset), c))"
+    ranges = ranges.withColumns({c: F.lit(None).cast("long") for c in ("settled", "byte_offset") if c not in ranges.columns})
+    rows = ranges.groupBy("bank_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "from_offset", "to_offset", "settled", "byte_offset"))).alias("r"))
+    confirmed = "greatest(s.c, if(x.from_offset <= s.c, x.to_offset, 0L), if(s.c >= s.b, x.settled, 0L))"
+    fold = f"aggregate(r, struct(0L AS c, 0L AS b), (s, x) -> struct({confirmed} AS c, greatest(s.b, x.byte_offset) AS b), s -> s.c)"
     return rows.select("bank_id", "session_id", F.expr(fold).alias("confirmed"))
 
 

@@ -86,6 +86,12 @@ def test_confirmed_offsets_need_joined_ranges(spark):
     assert got == {"s": 18, "t": 0}
 
 
+def test_settled_offsets_count_where_nothing_is_open(spark):
+    rows = [("b", "s", 1, None, None, 10, 10), ("b", "s", 2, 10, 20, None, 30), ("b", "s", 3, None, None, 40, 40), ("b", "t", 1, 0, 5, None, 5), ("b", "t", 2, None, None, 9, 9)]
+    got = {r["session_id"]: r["confirmed"] for r in ST.confirmed_offsets(spark.createDataFrame(rows, "bank_id string, session_id string, seq int, from_offset long, to_offset long, settled long, byte_offset long")).collect()}
+    assert got == {"s": 20, "t": 9}
+
+
 def test_session_predicates(spark):
     df = spark.createDataFrame([(5, 6, 900), (5, 4, 900), (5, 6, 100), (0, 6, 2000)], "turns long, failures long, opened long")
     got = df.select(ST.retains_now(F.col("turns"), 5).alias("r"), ST.breaker_open(F.col("failures"), F.col("opened"), 1000, 5, 500).alias("o")).collect()
