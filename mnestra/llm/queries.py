@@ -20,9 +20,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "node_vectors"))
 
 
-def _names_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _names_together(spark: SparkSession, sf_dir: str, min_together: int = 6) -> DataFrame:
     facts = table(spark, sf_dir, "archive_facts")
-    return cooccurrence(facts, "bank_id", ["document_id", "fact_index"], "entities", min_together=6)
+    return cooccurrence(facts, "bank_id", ["document_id", "fact_index"], "entities", min_together=min_together)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names_together(spark, sf_dir).filter(exceeds).select("bank_id", F.col("item_1").alias("name_1"), F.col("item_2").alias("name_2"))
 
 
+def _scores(pairs: DataFrame) -> DataFrame:
+    return pairs.select("bank_id", "item_1", "item_2", "together", "baskets_1", "baskets_2", "baskets", F.round("lift", 6).alias("lift"))
+
+
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names_together(spark, sf_dir).select("bank_id", "item_1", "item_2", "together", "baskets_1", "baskets_2", "baskets", F.round("lift", 6).alias("lift"))
+    return _scores(_names_together(spark, sf_dir))
+
+
+def p2_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_names_together(spark, sf_dir, min_together=1))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_scores, p5_found, p6_pack, p7_mix, p7_shares, p8_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_scores, p2_all_scores, p5_found, p6_pack, p7_mix, p7_shares, p8_found)
 }
 
 _PAIRS = r"""
@@ -80,7 +88,9 @@ WITH listed AS (SELECT DISTINCT bank_id, document_id, fact_index, lower(regexp_r
                 JOIN single b ON b.bank_id = p.bank_id AND b.name = p.name_2
                 JOIN total t ON t.bank_id = p.bank_id)
 """
+_SCORES = "SELECT bank_id, name_1 AS item_1, name_2 AS item_2, together, n1 AS baskets_1, n2 AS baskets_2, baskets, round(together * baskets / (n1::DOUBLE * n2), 6) AS lift FROM scored"
 ORACLE: dict[str, str] = {
+    "p2_all_scores": _PAIRS.replace(" HAVING count(*) >= 6", "") + _SCORES,
     "p2_found": _PAIRS + "SELECT bank_id, name_1, name_2 FROM scored WHERE together * baskets >= 8 * n1 * n2",
     "p2_scores": _PAIRS
     + "SELECT bank_id, name_1 AS item_1, name_2 AS item_2, together, n1 AS baskets_1, n2 AS baskets_2, baskets, round(together * baskets / (n1::DOUBLE * n2), 6) AS lift FROM scored",

@@ -36,3 +36,12 @@ def test_pairs_equal_brute_force(spark, seed, chunk, least):
 
 def test_empty(spark):
     assert cooccurrence(spark.createDataFrame([], "bank string, doc string, names array<string>"), "bank", ["doc"], "names").collect() == []
+
+
+def test_all_scores_hold_the_rare_pairs(spark, tmp_path):
+    from mnestra.llm.queries import p2_all_scores
+
+    rows = [("b", "d", n, ["x", "y"] if n < 6 else ["x", "z"]) for n in range(7)]
+    spark.createDataFrame(rows, "bank_id string, document_id string, fact_index long, entities array<string>").write.parquet(f"{tmp_path}/archive_facts.parquet")
+    got = {(r["item_1"], r["item_2"]): r["together"] for r in p2_all_scores(spark, str(tmp_path)).collect()}
+    assert got == {("x", "y"): 6, ("x", "z"): 1}
