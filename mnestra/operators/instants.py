@@ -228,10 +228,15 @@ def _judged(parsed: DataFrame, mixtures: DataFrame, confidence: float) -> DataFr
     )
 
 
-def inbound_instants(facts: DataFrame) -> DataFrame:
-    """(fact_id, field_name, utc_ms) of the values of inbound facts that denote exactly one instant."""
+def inbound_values(facts: DataFrame, conventions: dict[str, str] | None = None) -> DataFrame:
+    """``normalise_instants`` of all times of inbound facts, the agents being the sources."""
     fields = ("occurred_start", "event_date", "mentioned_at")
     written = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields]))
     values = facts.select(F.col("fact_id").alias("id"), F.col("agent").alias("source"), "tz", written.alias("w")).select("id", F.col("w.field_name").alias("field_name"), "source", "tz", F.col("w.value").alias("value"))
-    found = normalise_instants(values, {"slash": "month_first", "dot": "day_first"})
+    return normalise_instants(values, conventions)
+
+
+def inbound_instants(facts: DataFrame) -> DataFrame:
+    """(fact_id, field_name, utc_ms) of the values of inbound facts that denote exactly one instant."""
+    found = inbound_values(facts, {"slash": "month_first", "dot": "day_first"})
     return found.filter("state = 'instant'").select(F.col("id").alias("fact_id"), "field_name", "utc_ms")

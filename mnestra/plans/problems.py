@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mnestra.operators.diff import archive_differences
-from mnestra.operators.instants import inbound_instants
+from mnestra.operators.instants import inbound_instants, inbound_values
 from mnestra.session import table
 
 
@@ -17,7 +18,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbound_instants(table(spark, sf_dir, "inbound_facts"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+def p4_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inbound_values(table(spark, sf_dir, "inbound_facts"))
+    return found.select(F.col("id").alias("fact_id"), "field_name", "reading", "state", F.round("posterior", 6).alias("posterior"), "utc_ms")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_undeclared": p4_undeclared}
 
 ORACLE = {
     "p3_found": """

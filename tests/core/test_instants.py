@@ -82,3 +82,13 @@ def test_sources_decide_between_readings(spark):
 
 def test_empty(spark):
     assert normalise_instants(spark.createDataFrame([], "id long, field_name string, source string, tz string, value string"), RULES).collect() == []
+
+
+def test_undeclared_dates_are_left_to_the_mixture_of_the_agent(spark, tmp_path):
+    from mnestra.plans.problems import p4_undeclared
+
+    rows = [(n, a, "UTC", d, None, None) for n, (a, d) in enumerate([("us", "03/25/2026")] * 60 + [("eu", "25/03/2026")] * 60 + [("us", "04/05/2026"), ("eu", "04/05/2026")])]
+    spark.createDataFrame(rows, "fact_id long, agent string, tz string, occurred_start string, event_date string, mentioned_at string").write.parquet(f"{tmp_path}/inbound_facts.parquet")
+    got = {r["fact_id"]: r for r in p4_undeclared(spark, str(tmp_path)).collect()}
+    assert got[120]["state"] == got[121]["state"] == "instant" and got[121]["utc_ms"] - got[120]["utc_ms"] == 29 * 86_400_000
+    assert 0.95 <= got[120]["posterior"] < 1
