@@ -9,6 +9,10 @@ two records agree in a register with the probability of their weighted Jaccard
 similarity.  Registers are banded; records that meet in a band are verified with
 the exact Jaccard similarity of their sets of distinct words.
 
+Points are drawn once per distinct word of a batch, not per record, so that drawing
+is a third of the work and stopping it early would save little; the minima are taken
+over whole rows of registers.
+
 The weights only steer which records meet.  Most words of any text are frequent
 ones, so that with equal weights unrelated records would meet by the million.
 Words are weighed by document counts over the whole corpus; the table that is
@@ -16,18 +20,22 @@ sent to the tasks holds the words that stand in at least 1/256 of the records,
 which are at most 256 times the mean number of distinct words of a record.
 
 The weighted bands alone guarantee nothing for the plain measure: records that
-share common words and differ in rare ones seldom meet in them.  So records also
+share common words and differ in rare ones seldom meet in them, and a bucket of
+more than ``hot_bucket`` classes is not paired.  So records also
 meet exactly, in every word of their prefixes: sets with a Jaccard similarity of
 at least t share one of their first n - ceil(t n) + 1 words in any fixed order,
 and two of their first n - ceil(t n) + 2.  The order is the rarest first, by
 counts in ``_CELLS`` cells of word hashes; a word more frequent than ``hot_word``
 is met in by pairs of words.  Sizes, places of the word and the parity of hashed
-words bound the overlap before a pair is handed on; no pair above t is lost.
+words bound the overlap before a pair is handed on; no pair above t is lost.  A key
+of more than ``long_key`` records is cut into chunks, and the products of chunks
+are spread over tasks.
+
+``multiset`` counts repeated words: the n-th occurrence of a word is an element of its
+own, so that the overlap is the sum of the lesser counts over that of the greater ones.
 
-Equal values are one class and enter the bands once.  A band bucket with more
-than ``hot_bucket`` classes is not paired as it is: its classes are told apart
-exactly by their rarest words (two sets with a Jaccard similarity of at least t
-share one of the first n - ceil(t n) + 1 words in any fixed order).
+Records with the same set of words are one class and enter the bands once; classes
+are named by a 64-bit hash of the set.
 
 Defined results: nulls are left out; values without words are near only to equal
 values; repeated ids count once; an empty table gives an empty result.
@@ -35,15 +43,17 @@ values; repeated ids count once; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from mnestra.operators.components import connected_components
 from mnestra.session import materialise, spread
@@ -51,26 +61,44 @@ from mnestra.session import materialise, spread
 WORD = re.compile(r"[^\W_]+")
 WEIGHT_LEVELS = 3  # weights 1, 2, 4 and 2 ** WEIGHT_LEVELS
 _COMMON = (1 / 4, 1 / 32, 1 / 256)  # a word in so large a share of the records weighs 1, 2 or 4, any other 8
-_CACHE_WORDS = 500_000
+PART_ROWS = 500_000
 _CELLS = 2**18
 _BLOCK = 2**20
 _PARITY, _SMALL = tuple(f"parity_{n}" for n in range(4)), 64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word) - 2**63
-        return value
+def word_elements(value: Column) -> Column:
+    """Hashes of the distinct words of a value, in the order of the hashes."""
+    words = F.array_distinct(F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def counted_elements(values: pd.Series) -> pd.Series:
+    """Hashes of the words of a value with the number of the occurrence, so that repeated words count."""
+
+    def of(value: str) -> list[int]:
+        seen: Counter = Counter()
+        out = []
+        for word in WORD.findall(value.lower()):
+            out.append(xxhash.xxh64_intdigest(word, seed=seen[word]) - 2**63)
+            seen[word] += 1
+        return sorted(out)
 
+    return values.map(of)
 
-def word_sets(values: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the distinct words of all values, and how many each has."""
-    sets = [set(WORD.findall(v.lower())) for v in values]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.fromiter((hashes[w] for s in sets for w in s), np.int64, int(sizes.sum()))
-    return flat, sizes
+
+def _lists(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a column of lists, and how many each row has."""
+    column = batch.column(at)
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _rows_of(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_lists`` of some rows."""
+    begins, more = (np.cumsum(sizes) - sizes)[rows], sizes[rows]
+    at = np.repeat(begins - (np.cumsum(more) - more), more) + np.arange(int(more.sum()))
+    return flat[at], more
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,50 +129,63 @@ def first_points(words: np.ndarray, level: np.ndarray, registers: np.ndarray) ->
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray, level_of: dict[int, int], registers: int) -> np.ndarray:
-    """Registers of every value that has words (rows in the order of values)."""
+    """Registers of every value; all values must have words."""
     words, where = np.unique(flat, return_inverse=True)
     level = np.array([level_of.get(w, WEIGHT_LEVELS) for w in words.tolist()], np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
-    out = np.empty((int((sizes > 0).sum()), registers), np.float32)
-    for lo in range(0, registers, 4):
-        some = np.arange(lo, min(lo + 4, registers))
-        if len(words):
-            out[:, some] = np.minimum.reduceat(first_points(words, level, some).astype(np.float32)[where], begins, axis=0)
+    points = np.empty((len(words), registers), np.float32)
+    for lo in range(0, len(words), 256):
+        points[lo : lo + 256] = first_points(words[lo : lo + 256], level[lo : lo + 256], np.arange(registers))
+    begins, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+    out = np.empty((len(sizes), registers), np.float32)
+    for lo in range(0, len(order), 128):
+        some = order[lo : lo + 128]  # the largest first, so that those with a j-th word are a head of the block
+        begin, n = begins[some], sizes[some]
+        low = points[where[begin]]
+        for j in range(1, int(n[0])):
+            head = int(np.searchsorted(-n, -j))
+            np.minimum(low[:head], points[where[begin[:head] + j]], out=low[:head])
+        out[some] = low
     return out
 
 
-def _word_levels(values: DataFrame) -> tuple[dict[int, int], np.ndarray]:
-    """The weights (as powers of two) of the words that stand in many records, and counts of words by cell of their hash."""
+def _word_levels(values: DataFrame) -> tuple[dict[int, int], np.ndarray, int]:
+    """The weights (as powers of two) of the words that stand in many records, counts of words by cell of their hash, and all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            words, times = np.unique(word_sets(batch.column(0).to_pylist(), hashes)[0], return_counts=True)
+            words, times = np.unique(_lists(batch, 0)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(words, 0)), pa.array(np.append(times, 0)), pa.array(np.append(np.zeros(len(words), np.int64), batch.num_rows))],
                 names=["word", "times", "records"],
             )
 
-    counted = values.select("value").mapInArrow(count, "word long, times long, records long").groupBy("word").agg(F.sum("times").alias("times"), F.sum("records").alias("records"))
+    counted = values.select("words").mapInArrow(count, "word long, times long, records long").groupBy("word").agg(F.sum("times").alias("times"), F.sum("records").alias("records"))
     counted = materialise(counted.filter("times > 0 or records > 0"), "word-counts")
-    records = counted.agg(F.sum("records")).first()[0] or 0
+    records, total = counted.agg(F.sum("records"), F.sum("times")).first()
+    records = records or 0
     common = counted.filter(F.col("times") >= _COMMON[-1] * max(records, 1)).select("word", "times").collect()
     levels = {r["word"]: next(i for i, share in enumerate(_COMMON) if r["times"] >= share * records) for r in common}
     cells = counted.groupBy(F.pmod("word", F.lit(_CELLS)).cast("int").alias("cell")).agg(F.sum("times").alias("times")).toArrow()
     often = np.zeros(_CELLS, np.int64)
     often[cells["cell"].to_numpy()] = cells["times"].to_numpy()
-    return levels, often
+    return levels, often, total or 0
+
+
+def _dealt(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """Rows parted by a key, in as many parts as about so many rows need, and sorted."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-about // PART_ROWS))
+    return rows.repartition(parts, key).sortWithinPartitions(key, "kind")
 
 
 def _buckets(values: DataFrame, level_of, bands: int, rows: int) -> DataFrame:
+    """``values(kind, field, words)`` -> the buckets of every class, a row a band."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            kind, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal values once per batch
-            field = batch.column(2).to_numpy()[first].view(np.uint64)
-            texts = batch.column(1).take(pa.array(first)).to_pylist()
-            flat, sizes = word_sets(texts, hashes)
-            kind, field = kind[sizes > 0], field[sizes > 0]
+            kind, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # a class once per batch
+            field = batch.column(1).to_numpy()[first].view(np.uint64)
+            flat, sizes = _rows_of(*_lists(batch, 2), first)
+            kind, field, sizes = kind[sizes > 0], field[sizes > 0], sizes[sizes > 0]
             if not len(kind):
                 continue
             signature = signatures(flat, sizes, level_of.value, bands * rows).view(np.uint32).astype(np.uint64)
@@ -158,68 +199,42 @@ def _buckets(values: DataFrame, level_of, bands: int, rows: int) -> DataFrame:
 
 
 def _pairs_in_runs(sorted_rows: DataFrame, hot: int) -> DataFrame:
-    """From rows sorted by (bucket, kind): pairs of kinds in a bucket, or the rows of a bucket too large for that."""
+    """From rows sorted by (bucket, kind): the pairs of kinds in a bucket that holds at most ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kinds = np.empty(0, np.int64), np.empty(0, np.int64)
-        open_hot: int | None = None
-
-        def out(flag: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), flag)), pa.array(a), pa.array(b)], names=["hot", "a", "b"])
+        passed: int | None = None  # a bucket found too large, which goes on
 
         def whole(keys: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             length = np.diff(np.concatenate([begin, [len(keys)]]))
-            large = np.repeat(length > hot, length)
-            yield out(True, keys[large], kinds[large])
-            keys, kinds = keys[~large], kinds[~large]
+            fine = np.repeat(length <= hot, length)
+            keys, kinds = keys[fine], kinds[fine]
             for step in range(1, hot):
                 near = np.flatnonzero(keys[step:] == keys[:-step])
                 if not len(near):
                     break
-                yield out(False, kinds[near], kinds[near + step])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[near]), pa.array(kinds[near + step])], names=["a", "b"])
 
         for batch in batches:
-            new_keys, new_kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keys, kinds = np.concatenate([keys, new_keys]), np.concatenate([kinds, new_kinds])
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])]) if len(keys) else np.empty(0, bool)
-            keys, kinds = keys[fresh], kinds[fresh]
-            if open_hot is not None:  # a large bucket goes on
-                n = int((keys == open_hot).sum())
-                yield out(True, keys[:n], kinds[:n])
-                keys, kinds = keys[n:], kinds[n:]
-                if not len(keys):
-                    continue
-                open_hot = None
+            keys, kinds = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([kinds, batch.column(1).to_numpy()])
+            if passed is not None:
+                keys, kinds = keys[keys != passed], kinds[keys != passed]
             if not len(keys):
                 continue
-            end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            yield from whole(keys[:end], kinds[:end]) if end else ()
+            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])])
+            keys, kinds, passed = keys[fresh], kinds[fresh], None
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield from whole(keys[:end], kinds[:end])
             keys, kinds = keys[end:], kinds[end:]
             if len(keys) > hot:
-                open_hot = int(keys[0])
-                yield out(True, keys, kinds)
+                passed = int(keys[0])
                 keys, kinds = keys[:0], kinds[:0]
         if len(keys):
             yield from whole(keys, kinds)
 
-    return sorted_rows.mapInArrow(run, "hot boolean, a long, b long")
-
-
-def _word_rows(values: DataFrame, level_of, threshold: float) -> DataFrame:
-    """Sets of words in one fixed order, the rarest first, and the length of the prefix that must meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            flat, sizes = word_sets(batch.column(1).to_pylist(), hashes)
-            level = np.array([level_of.value.get(w, WEIGHT_LEVELS) for w in flat.tolist()], np.int64)
-            order = np.lexsort((flat, -level, np.repeat(np.arange(len(sizes)), sizes)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat[order]))
-            prefix = np.array([n - math.ceil(threshold * n - 1e-9) + 1 for n in sizes.tolist()], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(prefix)], names=["kind", "words", "prefix"])
-
-    return values.mapInArrow(run, "kind long, words array<long>, prefix int")
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def _prefix_keys(values: DataFrame, often, threshold: float, hot_word: int) -> DataFrame:
@@ -230,18 +245,17 @@ def _prefix_keys(values: DataFrame, often, threshold: float, hot_word: int) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-
         def out(keys: np.ndarray, of: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind[of]), pa.array(sizes[of] << 32 | at), *[pa.array(p[of].view(np.int64)) for p in parity]], names=["key", "kind", "place", *_PARITY])
 
         for batch in batches:
             kind, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            flat, sizes = word_sets(batch.column(1).take(pa.array(first)).to_pylist(), hashes)
-            kind, field, sizes = kind[sizes > 0], batch.column(2).to_numpy()[first][sizes > 0].view(np.uint64), sizes[sizes > 0]
+            field = batch.column(1).to_numpy()[first].view(np.uint64)
+            flat, sizes = _rows_of(*_lists(batch, 2), first)
+            kind, field, sizes = kind[sizes > 0], field[sizes > 0], sizes[sizes > 0]
             if not len(kind):
                 continue
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            begins = np.cumsum(sizes) - sizes
             of = np.repeat(np.arange(len(sizes)), sizes)
             times = often.value[flat % _CELLS]
             order = np.lexsort((flat, times, of))
@@ -267,27 +281,43 @@ def _prefix_keys(values: DataFrame, often, threshold: float, hot_word: int) -> D
     return values.mapInArrow(run, f"key long, kind long, place long, {' long, '.join(_PARITY)} long")
 
 
-def _meet_exactly(sorted_rows: DataFrame, threshold: float, step_run: int = 256) -> DataFrame:
-    """From rows sorted by (key, kind): the pairs of kinds of a key that sizes, places and parities do not rule out."""
+_MET = f"a long, b long, key long, place long, {' long, '.join(_PARITY)} long"
 
-    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.minimum((x >> 32) - (x & 0xFFFFFFFF), (y >> 32) - (y & 0xFFFFFFFF)) >= needed(x, y)
+
+def _meet_exactly(sorted_rows: DataFrame, threshold: float, long_key: int | None, step_run: int = 256) -> DataFrame:
+    """From rows sorted by (key, kind): the pairs of kinds of a key that sizes, places and parities do not rule out.
+
+    The rows of a key that has more than ``long_key`` come back as they are, with a null ``b``.  Rows with a column
+    ``side`` only meet rows of another side, those of side -1 all.
+    """
+    sided = "side" in sorted_rows.columns
 
     def needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.ceil(threshold / (1 + threshold) * ((x >> 32) + (y >> 32)) - 1e-9).astype(np.int64)
 
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum((x >> 32) - (x & 0xFFFFFFFF), (y >> 32) - (y & 0xFFFFFFFF)) >= needed(x, y)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = [pa.nulls(0, pa.int64())] * (2 + len(_PARITY))
+
+        def as_they_are(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[1]), pa.int64()), *[pa.array(c) for c in (rows[0], *rows[2:])]], names=["a", "b", "key", "place", *_PARITY])
+
         def pairs(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            _, kinds, places, *parity = rows
+            kinds, places = rows[1], rows[2]
             good = fits(places[a], places[b])
+            if sided:
+                good &= (rows[-1][a] != rows[-1][b]) | (rows[-1][a] < 0)
             a, b = a[good], b[good]
+            parity = rows[3 : 3 + len(_PARITY)]
             apart = (places[a] >> 32) + (places[b] >> 32) - 2 * needed(places[a], places[b])
             turned = [(p[a] ^ p[b]).view(np.uint64) for p in parity]
             both_large = np.minimum(places[a] >> 32, places[b] >> 32) > _SMALL
             folded = np.bitwise_count(np.bitwise_xor.reduce(turned)).astype(np.int64)
             good = np.where(both_large, sum(np.bitwise_count(x).astype(np.int64) for x in turned), folded) <= apart
             a, b = kinds[a[good]], kinds[b[good]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * len(nothing)], names=["a", "b", "key", "place", *_PARITY])
 
         def long_run(rows: list[np.ndarray], begin: int, end: int) -> Iterator[pa.RecordBatch]:
             order = begin + np.argsort(rows[2][begin:end], kind="stable")
@@ -305,6 +335,12 @@ def _meet_exactly(sorted_rows: DataFrame, threshold: float, step_run: int = 256)
         def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
             length = np.diff(np.concatenate([begin, [len(rows[0])]]))
+            if long_key is not None and (length > long_key).any():
+                far = np.repeat(length > long_key, length)
+                yield as_they_are([c[far] for c in rows])
+                rows = [c[~far] for c in rows]
+                length = length[length <= long_key]
+                begin = np.cumsum(length) - length
             for n in np.flatnonzero(length > step_run):
                 yield from long_run(rows, int(begin[n]), int(begin[n] + length[n]))
             short = np.repeat(length <= step_run, length)
@@ -315,57 +351,83 @@ def _meet_exactly(sorted_rows: DataFrame, threshold: float, step_run: int = 256)
                     break
                 yield pairs(rows, near, near + step)
 
+        def unique(rows: list[np.ndarray]) -> list[np.ndarray]:
+            fresh = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            return [c[fresh] for c in rows]
+
         waiting: list[list[np.ndarray]] = []  # rows of one key that goes on
+        passing: int | None = None  # a key too long, whose rows go on as they are
         for batch in batches:
             new = [c.to_numpy() for c in batch.columns]
+            if passing is not None:
+                mine = new[0] == passing
+                if mine.any():
+                    yield as_they_are([c[mine] for c in new])
+                    new = [c[~mine] for c in new]
             if not len(new[0]):
                 continue
-            if waiting and new[0][-1] == waiting[0][0][0]:
+            passing = None
+            if waiting and new[0][-1] == waiting[0][0][0] and sum(len(w[0]) for w in waiting) + len(new[0]) <= (long_key or 2**62):
                 waiting.append(new)
                 continue
-            held = [np.concatenate(c) for c in zip(*waiting, new)]
-            fresh = np.concatenate([[True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])])
-            held = [c[fresh] for c in held]
+            held = unique([np.concatenate(c) for c in zip(*waiting, new)])
             end = int(np.searchsorted(held[0], held[0][-1]))
             if end:
                 yield from whole([c[:end] for c in held])
             waiting = [[c[end:] for c in held]]
+            if long_key is not None and len(waiting[0][0]) > long_key:
+                passing = int(held[0][-1])
+                yield as_they_are(waiting[0])
+                waiting = []
         if waiting:
-            held = [np.concatenate(c) for c in zip(*waiting)]
-            fresh = np.concatenate([[True], held[1][1:] != held[1][:-1]])
-            yield from whole([c[fresh] for c in held])
+            yield from whole(unique([np.concatenate(c) for c in zip(*waiting)]))
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(run, _MET)
+
+
+def _meet_in_chunks(rows: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """The pairs of long keys: their rows are cut into chunks by hash, and every pair of chunks is met on its own."""
+    rows = materialise(rows.select("key", F.col("a").alias("kind"), "place", *_PARITY).distinct(), "long-keys")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("kind", F.lit(1)), F.col("chunks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long")
+    product = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    sided = met.select(product.alias("key"), "kind", "place", *_PARITY, side.alias("side"))
+    return _meet_exactly(sided.repartition("key").sortWithinPartitions("key", "kind"), threshold, None)
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256, hot_word: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Links between different values, and the records of each value.
+def near_duplicates(
+    records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256, hot_word: int = 4096, long_key: int = 100_000, multiset: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Links between different sets of words, and the records of each set.
 
     ``records(field_name, id, value)`` -> ``links(a, b)`` between kinds (classes
-    of equal values of one field) with a Jaccard similarity of at least
+    of equal sets in one field) with a Jaccard similarity of at least
     ``threshold``, and ``members(kind, field_name, id)``.
     """
     spark = records.sparkSession
-    values = records.select("field_name", F.col("id").cast("long").alias("id"), "value").filter("id is not null and value is not null").withColumn("kind", F.xxhash64("field_name", "value"))
-    values = spread(values)
-    members = values.select("kind", "field_name", "id")
-    levels, often = _word_levels(values)
+    values = spread(records.select("field_name", F.col("id").cast("long").alias("id"), "value").filter("id is not null and value is not null"))
+    words = (counted_elements if multiset else word_elements)(F.col("value"))
+    field = F.xxhash64("field_name")
+    read = values.select("field_name", "id", field.alias("field"), "value", words.alias("words"))
+    kind = F.when(F.size("words") > 0, F.xxhash64("field", "words")).otherwise(F.xxhash64("field", F.lit("value"), "value"))
+    read = materialise(read.select("field_name", "id", "field", kind.alias("kind"), "words"), "words")
+    members, sets = read.select("kind", "field_name", "id"), read.select("kind", "field", "words")
+    levels, often, total = _word_levels(read)
     level_of, often = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(often)
-    sorted_rows = _buckets(values.select("kind", "value", F.xxhash64("field_name")), level_of, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    met = materialise(_pairs_in_runs(sorted_rows, hot_bucket), "met")
-    pairs = met.filter("not hot").select("a", "b")
-    if met.filter("hot").limit(1).count():
-        of_hot = met.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("kind"))
-        texts = values.select("kind", "value").join(of_hot.select("kind").distinct(), "kind", "left_semi").dropDuplicates(["kind"])
-        words = _word_rows(texts, level_of, threshold)
-        keyed = of_hot.join(words.select("kind", F.explode(F.slice("words", F.lit(1), F.col("prefix"))).alias("word")), "kind").select("bucket", "word", "kind")
-        pairs = pairs.unionByName(keyed.alias("l").join(keyed.alias("r"), ["bucket", "word"]).filter("l.kind < r.kind").select(F.col("l.kind").alias("a"), F.col("r.kind").alias("b")))
-    prefixes = _prefix_keys(values.select("kind", "value", F.xxhash64("field_name")), often, threshold, hot_word).repartition("key").sortWithinPartitions("key", "kind")
-    pairs = materialise(pairs.unionByName(_meet_exactly(prefixes, threshold)).distinct(), "pairs")
+    buckets = _dealt(_buckets(sets, level_of, bands, rows), "bucket", members.count() * bands)
+    pairs = _pairs_in_runs(buckets, hot_bucket)
+    keys = _dealt(_prefix_keys(sets, often, threshold, hot_word), "key", total)
+    exact = materialise(_meet_exactly(keys, threshold, long_key), "met")
+    pairs = pairs.unionByName(exact.filter("b is not null").select("a", "b"))
+    far = exact.filter("b is null")
+    if far.limit(1).count():
+        pairs = pairs.unionByName(_meet_in_chunks(far, threshold, max(1, min(4096, long_key // 2))).select("a", "b"))
+    pairs = materialise(pairs.distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("kind")).union(pairs.select(F.col("b").alias("kind"))).distinct()
-    texts = values.select("kind", "value").join(involved, "kind", "left_semi").dropDuplicates(["kind"])
-    words = materialise(_word_rows(texts, level_of, threshold).select("kind", "words"), "words")
-    left, right = words.toDF("a", "words_a"), words.toDF("b", "words_b")
+    texts = materialise(sets.select("kind", "words").join(involved, "kind", "left_semi").dropDuplicates(["kind"]), "involved")
+    left, right = texts.toDF("a", "words_a"), texts.toDF("b", "words_b")
     both = F.size(F.array_intersect("words_a", "words_b"))
     either = F.size("words_a") + F.size("words_b") - both
     small, large = F.least(F.size("words_a"), F.size("words_b")), F.greatest(F.size("words_a"), F.size("words_b"))

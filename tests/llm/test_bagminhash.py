@@ -80,7 +80,15 @@ def test_boilerplate_in_a_third_of_all_rows_hides_no_pair(spark, hot_word):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7) and len(got) > 150
 
 
-def test_long_runs_of_one_key_are_met_whole(spark):
+@pytest.mark.parametrize("long_key", [100_000, 40])
+def test_long_runs_of_one_key_are_met_whole(spark, long_key):
     rows = [("text", n, f"a b c d e f g {'xyzuvw'[n % 6]} n{n} m{n % 50}") for n in range(700)]
-    got = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, "field_name string, id long, value string"), 0.7).collect()}
+    got = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, "field_name string, id long, value string"), 0.7, long_key=long_key).collect()}
     assert got == brute(rows, 0.7) and got
+
+
+def test_repeated_words_count_in_multisets(spark):
+    rows = [("text", 1, "go go go stop"), ("text", 2, "go go go go stop"), ("text", 3, "go stop"), ("text", 4, "go stop!")]
+    df = spark.createDataFrame(rows, "field_name string, id long, value string")
+    assert {tuple(r) for r in near_duplicate_pairs(df, 0.7, multiset=True).collect()} == {("text", 1, 2), ("text", 3, 4)}
+    assert len(near_duplicate_pairs(df, 0.7).collect()) == 6
