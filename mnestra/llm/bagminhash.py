@@ -398,7 +398,7 @@ def _meet_in_chunks(rows: DataFrame, threshold: float, chunk: int) -> DataFrame:
 
 
 def near_duplicates(
-    records: DataFrame, threshold: float = 0.7, bands: int = 34, rows: int = 5, hot_bucket: int = 256, hot_word: int = 4096, long_key: int = 100_000, multiset: bool = False
+    records: DataFrame, threshold: float = 0.7, bands: int = 28, rows: int = 5, hot_bucket: int = 256, hot_word: int = 4096, long_key: int = 100_000, multiset: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different sets of words, and the records of each set.
 
@@ -447,11 +447,15 @@ def near_duplicate_pairs(records: DataFrame, threshold: float = 0.7, **options)
     return first.join(second, "other").filter("kind <> other or id_a < id_b").select("field_name", F.least("id_a", "id_b").alias("id_1"), F.greatest("id_a", "id_b").alias("id_2"))
 
 
-def near_duplicate_groups(records: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """(field_name, id, group_id): one row per record; group_id is the least id of its group."""
+def near_duplicate_groups(records: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
+    """(field_name, id, group_id, links): one row per record; group_id is the least id of its group.
+
+    ``links`` counts the other sets of words that the record's set is near to; copies of it are not counted.
+    """
     links, members = near_duplicates(records, threshold, **options)
-    members = members.distinct()
+    links, members = materialise(links, "links"), members.distinct()
     component = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "kind")
-    placed = members.join(component, "kind", "left").withColumn("group", F.coalesce("component", "kind"))
+    degree = links.select(F.col("a").alias("kind")).union(links.select("b")).groupBy("kind").agg(F.count(F.lit(1)).alias("links"))
+    placed = members.join(component, "kind", "left").join(degree, "kind", "left").withColumn("group", F.coalesce("component", "kind"))
     least = placed.groupBy("group").agg(F.min("id").alias("group_id"))
-    return placed.join(least, "group").select("field_name", "id", "group_id")
+    return placed.join(least, "group").select("field_name", "id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
