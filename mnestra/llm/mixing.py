@@ -13,9 +13,10 @@ The mix is the largest in which all sources keep their shares (or
 ``total_tokens``, if that is less).  A source without tokens cannot get a share;
 the others then keep their proportions.
 
-Cells are at most (sources in the targets) x 64 x 64: languages and topics are
-taken by one of 64 hash buckets each, so the table of cells that is fitted on
-the driver and sent to the tasks has a fixed bound.
+Every language and topic is a marginal of its own, null among them.  Where there are
+more than ``NAMES`` of either, the ``NAMES`` with the most tokens are, and the others fall into
+``NAMES`` hash buckets, so that the table of cells that is fitted on the driver and sent to the
+tasks has a fixed bound: at most (sources in the targets) x 128 x 128.
 
 Defined results: sources compare after trim and lower case; texts whose source
 is null or not in the targets, and null or empty texts, are not taken; a null
@@ -28,10 +29,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnestra.llm.tokens import VOCABULARY, with_token_counts
+from mnestra.llm.tokens import VOCABULARY, with_copies, with_token_counts
 from mnestra.session import materialise
 
-BUCKETS = 64
+NAMES = 64
 PARTS = 1024
 
 
@@ -86,17 +87,26 @@ def rake(cells: list[dict], shares: dict[str, float], caps: dict[str, int], tota
     return weight, size
 
 
+def _numbered(rows: DataFrame, name: str) -> Column:
+    """The number of the marginal that a language or topic belongs to."""
+    most = rows.groupBy(name).agg(F.sum("tokens").alias("n")).filter(F.col(name).isNotNull()).orderBy(F.desc("n"), name).limit(NAMES + 1).collect()
+    known = [r[name] for r in most[:NAMES]]
+    own = F.create_map(*[F.lit(x) for i, k in enumerate(known) for x in (k, i + 1)])[F.col(name)] if known else F.lit(None).cast("int")
+    other = NAMES + 1 + F.pmod(F.xxhash64(name), F.lit(NAMES)).cast("int")
+    return F.when(F.col(name).isNull(), 0).otherwise(F.coalesce(own, other)).cast("int").alias(name)
+
+
 def _counted(documents: DataFrame, targets: dict[str, tuple[float, int]], vocabulary: str) -> DataFrame:
-    bucket = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(BUCKETS)).cast("int")
     rows = documents.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         clean_source(F.col("source")).alias("source"),
-        bucket(F.lower(F.trim("lang")), "lang").alias("lang"),
-        bucket(F.substring_index("bank_id", "::", 1), "topic").alias("topic"),
+        F.lower(F.trim("lang")).alias("lang"),
+        F.substring_index("bank_id", "::", 1).alias("topic"),
         "text",
     ).filter(F.col("source").isin(list(targets)) & (F.length("text") > 0))
-    return materialise(with_token_counts(rows, vocabulary=vocabulary), "tokens").filter("tokens > 0")
+    counted = materialise(with_token_counts(rows, vocabulary=vocabulary), "tokens").filter("tokens > 0")
+    rows = with_copies(counted, "row")
+    return rows.select("row", "doc_id", "source", "tokens", _numbered(counted, "lang"), _numbered(counted, "topic"))
 
 
 def clean_targets(rows: list[tuple]) -> dict[str, tuple[float, int]]:

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnestra.llm.anisotropic import similar_vectors
-from mnestra.llm.bagminhash import near_duplicate_pairs
+from mnestra.llm.bagminhash import near_duplicate_groups, near_duplicate_pairs
 from mnestra.llm.cooccurrence import cooccurrence
 from mnestra.llm.mixing import mix_report, mix_sources
-from mnestra.llm.packing import pack_texts
-from mnestra.llm.spans import shared_spans
+from mnestra.llm.packing import compare_with_best_fit, pack_texts
+from mnestra.llm.spans import shared_passages, shared_spans
 from mnestra.session import table
 
 
@@ -20,9 +20,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "node_vectors"))
 
 
-def _names_together(spark: SparkSession, sf_dir: str, min_together: int = 6) -> DataFrame:
+def p1_in_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p1_found`` with leaves for every bank of more than 64 vectors, so that they are tried on tables of any size."""
+    return similar_vectors(table(spark, sf_dir, "node_vectors"), large=64, leaf_rows=32)
+
+
+def _names_together(spark: SparkSession, sf_dir: str, min_together: int = 6, chunk: int = 64) -> DataFrame:
     facts = table(spark, sf_dir, "archive_facts")
-    return cooccurrence(facts, "bank_id", ["document_id", "fact_index"], "entities", min_together=min_together)
+    return cooccurrence(facts, "bank_id", ["document_id", "fact_index"], "entities", min_together=min_together, chunk=chunk)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +47,37 @@ def p2_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(_names_together(spark, sf_dir, min_together=1))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p2_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p2_scores`` with every record of more than three names in chunks."""
+    return _scores(_names_together(spark, sf_dir, chunk=3))
+
+
+def _near_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "archive_facts").select(F.lit("text").alias("field_name"), F.col("row_id").alias("id"), F.col("text").alias("value"))
     refreshes = table(spark, sf_dir, "mental_refreshes").select(F.lit("content").alias("field_name"), F.col("refresh_id").alias("id"), F.col("content").alias("value"))
-    return near_duplicate_pairs(facts.unionByName(refreshes), 0.7)
+    return facts.unionByName(refreshes)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(_near_records(spark, sf_dir), 0.7)
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a record: its group at a similarity of 0.8, and how many links its set of words has."""
+    return near_duplicate_groups(_near_records(spark, sf_dir), 0.8)
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return [(r["profile"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").collect()]
+
+
+def p6_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of best fit, of the genetic search, and the lower bound."""
+    return compare_with_best_fit(table(spark, sf_dir, "documents"), _limits(spark, sf_dir))
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = [(r["profile"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").collect()]
-    return pack_texts(table(spark, sf_dir, "documents"), limits)
+    return pack_texts(table(spark, sf_dir, "documents"), _limits(spark, sf_dir))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple]:
@@ -70,8 +97,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), 200)
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the shared passages stand in each document."""
+    return shared_passages(table(spark, sf_dir, "documents"), 200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_scores, p2_all_scores, p5_found, p6_pack, p7_mix, p7_shares, p8_found)
+    f.__name__: f for f in (p1_found, p1_in_leaves, p2_found, p2_scores, p2_all_scores, p2_in_chunks, p5_found, p5_groups, p6_pack, p6_compared, p7_mix, p7_shares, p8_found, p8_passages)
 }
 
 _PAIRS = r"""
@@ -92,6 +124,7 @@ _SCORES = "SELECT bank_id, name_1 AS item_1, name_2 AS item_2, together, n1 AS b
 ORACLE: dict[str, str] = {
     "p2_all_scores": _PAIRS.replace(" HAVING count(*) >= 6", "") + _SCORES,
     "p2_found": _PAIRS + "SELECT bank_id, name_1, name_2 FROM scored WHERE together * baskets >= 8 * n1 * n2",
+    "p2_in_chunks": _PAIRS + _SCORES,
     "p2_scores": _PAIRS
-    + "SELECT bank_id, name_1 AS item_1, name_2 AS item_2, together, n1 AS baskets_1, n2 AS baskets_2, baskets, round(together * baskets / (n1::DOUBLE * n2), 6) AS lift FROM scored",
+    + _SCORES,
 }

@@ -12,8 +12,12 @@ to the right, that holds two documents is a repeat of ``min_chars`` characters;
 maximal repeats are unions of these, and so is the part of a text they cover.
 Characters are compared, not hashes.
 
-A prefix with more than ``hot_rows`` suffixes is not brought into one task: its
-windows are hashed and counted with map-side combination instead.
+A tree is to fit the memory of its task.  Where a prefix has more than ``hot_rows`` suffixes it is
+lengthened: the windows that begin ``lo`` to ``hi`` characters before the suffix all hold the
+characters from ``lo`` before it to ``min_chars - hi`` after it, so halving [lo, hi] halves the
+characters that the group has not in common.  This goes on until a group is small enough, or
+all its suffixes stand in the same characters, or [lo, hi] is one window, which is compared
+as a string.
 
 Defined results: null and short texts share nothing; rows repeated under one
 doc_id are one document; only doc_id and text are read, so other columns may
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnestra.session import materialise, spread
@@ -124,13 +128,14 @@ def _anchors(documents: DataFrame, k: int, span: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, mark long, pos int, prefix long")
 
 
-def shared_windows(prefix: np.ndarray, doc: np.ndarray, context: list[str], left: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_windows(prefix: np.ndarray, doc: np.ndarray, context: list[str], left: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, most characters to the left, least) of the rows in a shared span.
 
     Rows are suffixes of whole prefix groups.  ``context[i]`` holds ``left[i]``
-    characters before the suffix and at most ``span`` of the suffix.
+    characters before the suffix and at most ``span`` of the suffix; windows that begin
+    ``lo[i]`` to ``hi[i]`` characters before it are looked at.
     """
-    n, reach = len(doc), span - k
+    n = len(doc)
     group = np.unique(prefix, return_inverse=True)[1]
     lengths = np.array([len(c) for c in context], np.int64)
     right_length = lengths - left
@@ -157,11 +162,11 @@ def shared_windows(prefix: np.ndarray, doc: np.ndarray, context: list[str], left
     rights = [c[p:] for c, p in zip(context, left.tolist())]
     lefts = [c[:p][::-1] for c, p in zip(context, left.tolist())]
     right_order, right_common = tree(rights, 0, 1, right_length, span)
-    left_order, left_common = tree(lefts, -1, -1, left, max(reach, 1))
+    left_order, left_common = tree(lefts, -1, -1, left, max(int(left.max()), 1))
     most, least = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     right_node, left_node = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(reach + 1):
-        able = np.flatnonzero((left >= d) & (right_length >= span - d))
+    for d in range(int(lo.min()), int(hi.max()) + 1):
+        able = np.flatnonzero((left >= d) & (right_length >= span - d) & (lo <= d) & (d <= hi))
         if len(able) < 2:
             continue
         right_node[right_order] = np.cumsum(right_common < span - d)
@@ -178,7 +183,7 @@ def shared_windows(prefix: np.ndarray, doc: np.ndarray, context: list[str], left
     return found, most[found], least[found]
 
 
-def _spans_of_groups(suffixes: DataFrame, k: int, span: int, flush_rows: int) -> DataFrame:
+def _spans_of_groups(suffixes: DataFrame, span: int, flush_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
@@ -186,8 +191,8 @@ def _spans_of_groups(suffixes: DataFrame, k: int, span: int, flush_rows: int) ->
             doc = rows.column("doc_id").to_numpy()
             mark = rows.column("mark").to_numpy()
             pos = rows.column("pos").to_numpy().astype(np.int64)
-            left = np.minimum(pos, span - k)
-            found, most, least = shared_windows(rows.column("prefix").to_numpy(), doc, rows.column("context").to_pylist(), left, k, span)
+            left, low, high = (rows.column(c).to_numpy().astype(np.int64) for c in ("left", "lo", "hi"))
+            found, most, least = shared_windows(rows.column("prefix").to_numpy(), doc, rows.column("context").to_pylist(), left, low, high, span)
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc[found]), pa.array(mark[found]), pa.array((pos[found] - most).astype(np.int32)), pa.array((pos[found] - least + span).astype(np.int32))],
                 names=["doc_id", "mark", "begin", "until"],
@@ -210,27 +215,53 @@ def _spans_of_groups(suffixes: DataFrame, k: int, span: int, flush_rows: int) ->
     return suffixes.mapInArrow(run, "doc_id long, mark long, begin int, until int")
 
 
-def _spans_of_hot_groups(suffixes: DataFrame, k: int, span: int) -> DataFrame:
-    """The same for prefixes of very many suffixes: windows are hashed and counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, mark = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
-            pos = batch.column("pos").to_numpy().astype(np.int64)
-            contexts = batch.column("context").to_pylist()
-            for lo in range(0, len(contexts), 2000):
-                grams = [gram_hashes(np.frombuffer(c.encode("utf-32-le"), np.uint32), span) for c in contexts[lo : lo + 2000]]
-                owner = lo + np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-                nth = np.concatenate([np.arange(len(g)) for g in grams])
-                begin = pos[owner] - np.minimum(pos[owner], span - k) + nth
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[owner]), pa.array(mark[owner]), pa.array(begin.astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64))],
-                    names=["doc_id", "mark", "begin", "window"],
-                )
-
-    windows = suffixes.mapInArrow(run, "doc_id long, mark long, begin int, window long")
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window")
-    return windows.join(shared, "window", "left_semi").select("doc_id", "mark", "begin", (F.col("begin") + F.lit(span)).cast("int").alias("until"))
+_SUFFIX = ["prefix", "doc_id", "mark", "pos", "left", "lo", "hi", "context"]
+
+
+def _lengthened(hot: DataFrame, span: int, hot_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Suffixes of oversized groups, parted anew by longer prefixes: groups that fit a task, and spans found on the way."""
+    fitting, spans = [], []
+    while hot.limit(1).count():
+        alike = hot.groupBy("prefix").agg(((F.min("context") == F.max("context")) & (F.min("left") == F.max("left"))).alias("alike"))
+        judged = materialise(hot.join(alike, "prefix"), "hot")
+        right = F.length("context") - F.col("left")
+        whole = judged.filter("alike").filter((F.length("context") >= span) & (F.col("left") >= F.col("lo")))
+        spans.append(whole.select("doc_id", "mark", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.least(right, F.lit(span) - F.col("lo"))).cast("int").alias("until")))
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("hi").alias("h")))
+        cut = judged.filter("not alike").select("doc_id", "mark", "pos", "left", "context", F.explode(halves).alias("d")).filter("left >= d.l and length(context) - left >= " + f"{span} - d.h")
+        near = F.least(F.col("left"), F.col("d.h"))
+        context = F.substring("context", F.col("left") - near + 1, near + F.lit(span) - F.col("d.l"))
+        cut = cut.select("doc_id", "mark", "pos", near.alias("left"), F.col("d.l").alias("lo"), F.col("d.h").alias("hi"), context.alias("context"))
+        key = F.xxhash64("lo", "hi", F.substring("context", F.col("left") - F.col("lo") + 1, F.col("lo") + F.lit(span) - F.col("hi")))
+        cut = materialise(cut.withColumn("prefix", key).select(*_SUFFIX), "cut")
+        single = cut.filter("lo = hi")
+        shared = single.groupBy("context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("context")
+        spans.append(single.join(shared, "context", "left_semi").select("doc_id", "mark", (F.col("pos") - F.col("lo")).alias("begin"), (F.col("pos") - F.col("lo") + F.lit(span)).cast("int").alias("until")))
+        sized = cut.filter("lo < hi").groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high").select("prefix", (F.col("rows") > hot_rows).alias("hot"))
+        parted = materialise(cut.filter("lo < hi").join(sized, "prefix"), "parted")
+        fitting.append(parted.filter("not hot").select(*_SUFFIX))
+        hot = parted.filter("hot").select(*_SUFFIX)
+    return fitting, spans
+
+
+def _spans(documents: DataFrame, span: int, k: int, hot_rows: int, flush_rows: int) -> DataFrame:
+    """(doc_id, mark, spans): overlapping pieces [begin, until) of every text that stand in another document."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
+    anchors = materialise(_anchors(spread(texts), k, span), "anchors")
+    shared = anchors.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high").select("prefix", (F.col("rows") > hot_rows).alias("hot"))
+    wanted = anchors.join(shared, "prefix").distinct()  # a row repeated m times must not meet itself m * m times
+    left = F.least(F.col("pos"), F.lit(span - k))
+    context = F.substring("text", F.col("pos") - left + 1, left + F.lit(span))
+    suffixes = materialise(wanted.join(texts, ["doc_id", "mark"]).select("prefix", "hot", "doc_id", "mark", "pos", left.alias("left"), F.lit(0).alias("lo"), F.lit(span - k).alias("hi"), context.alias("context")), "suffixes")
+    fitting, spans = _lengthened(suffixes.filter("hot").select(*_SUFFIX), span, hot_rows)
+    groups = suffixes.filter(~F.col("hot")).select(*_SUFFIX)
+    for more in fitting:
+        groups = groups.unionByName(more)
+    found = _spans_of_groups(groups.repartition("prefix").sortWithinPartitions("prefix"), span, flush_rows)
+    for more in spans:
+        found = found.unionByName(more)
+    return found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("begin", "until"))).alias("spans"))
 
 
 def shared_spans(documents: DataFrame, min_chars: int = 200, prefix_chars: int | None = None, hot_rows: int = 50_000, flush_rows: int = 16_000) -> DataFrame:
@@ -239,23 +270,22 @@ def shared_spans(documents: DataFrame, min_chars: int = 200, prefix_chars: int |
     ``documents(doc_id, text)`` -> ``(doc_id, shared_chars)``, where shared_chars
     counts the positions of the text that lie in any such passage.
     """
-    span = min_chars
-    k = prefix_chars or max(1, span // 2)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
-    anchors = materialise(_anchors(spread(texts), k, span), "anchors")
-    shared = anchors.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high").select("prefix", (F.col("rows") > hot_rows).alias("hot"))
-    wanted = anchors.join(shared, "prefix").distinct()  # a row repeated m times must not meet itself m * m times
-    left = F.least(F.col("pos"), F.lit(span - k))
-    suffixes = materialise(
-        wanted.join(texts, ["doc_id", "mark"]).select("prefix", "hot", "doc_id", "mark", "pos", F.substring("text", F.col("pos") - left + 1, left + F.lit(span)).alias("context")),
-        "suffixes",
-    )
-    columns = ["prefix", "doc_id", "mark", "pos", "context"]
-    cold = suffixes.filter(~F.col("hot")).select(*columns).repartition("prefix").sortWithinPartitions("prefix")
-    spans = _spans_of_groups(cold, k, span, flush_rows).unionByName(_spans_of_hot_groups(suffixes.filter("hot").select(*columns), k, span))
-    merged = spans.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("begin", "until"))).alias("spans"))
+    merged = _spans(documents, min_chars, prefix_chars or max(1, min_chars // 2), hot_rows, flush_rows)
     covered = F.expr(
         "aggregate(spans, named_struct('chars', 0L, 'upto', 0), (a, s) -> named_struct("
         "'chars', a.chars + greatest(0, s.until - greatest(s.begin, a.upto)), 'upto', greatest(a.upto, s.until)), a -> a.chars)"
     )
     return merged.select("doc_id", covered.alias("chars")).groupBy("doc_id").agg(F.sum("chars").alias("shared_chars"))
+
+
+def shared_passages(documents: DataFrame, min_chars: int = 200, prefix_chars: int | None = None, hot_rows: int = 50_000, flush_rows: int = 16_000) -> DataFrame:
+    """``(doc_id, text_hash, begin, until)``: the parts of every text that are made of shared passages, as large as they get.
+
+    Positions count code points from 0, ``until`` is the first behind; ``text_hash`` tells different texts of one doc_id apart.
+    """
+    pieces = _spans(documents, min_chars, prefix_chars or max(1, min_chars // 2), hot_rows, flush_rows).select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.begin", "s.until")
+    order = Window.partitionBy("doc_id", "mark").orderBy("begin", "until")
+    upto = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = pieces.withColumn("first", F.when(F.col("begin") <= upto, 0).otherwise(1))
+    numbered = starts.withColumn("nth", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "mark", "nth").agg(F.min("begin").alias("begin"), F.max("until").alias("until")).select("doc_id", F.col("mark").alias("text_hash"), "begin", "until")

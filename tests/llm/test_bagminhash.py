@@ -48,8 +48,8 @@ def test_pairs_equal_brute_force(spark, seed, hot):
 
 def test_groups(spark):
     rows = [("text", 1, "a b c d e f g h i j"), ("text", 2, "a b c d e f g h i x"), ("text", 3, "a b c d e f g h y x"), ("text", 4, "q r s"), ("text", 5, "q r s"), ("content", 6, "q r s")]
-    got = {r["id"]: r["group_id"] for r in near_duplicate_groups(spark.createDataFrame(rows, "field_name string, id long, value string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    got = {r["id"]: (r["group_id"], r["links"]) for r in near_duplicate_groups(spark.createDataFrame(rows, "field_name string, id long, value string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (4, 0), 5: (4, 0), 6: (6, 0)}
 
 
 def test_empty(spark):

@@ -31,6 +31,22 @@ def test_shares_are_reached_within_the_repeats_allowed(spark):
     assert abs(less - 5000) < 500
 
 
+def test_every_language_is_a_marginal_of_its_own(spark):
+    rows = [(i, "word " * (1 + i % 9), f"l{i % 20}" if i % 21 else None, "big" if i % 2 else "mid", f"t{i % 3}::x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bank_id string")
+    mixed = mix_sources(df, [("big", 0.5, 1), ("mid", 0.5, 1)], total_tokens=4000)
+    langs = spark.createDataFrame([(r[0], r[2] or "-") for r in rows], "doc_id long, lang string")
+    taken = {r["lang"]: r["n"] for r in mixed.join(langs, "doc_id").groupBy("lang").agg(F.sum("tokens").alias("n")).collect()}
+    assert len(taken) == 21 and max(taken.values()) < 2 * min(taken.values())
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rows = corpus()[:800]
+    df = lambda r, n: spark.createDataFrame(r, "doc_id long, text string, lang string, source string, bank_id string").repartition(n)
+    one, two = (sorted(map(tuple, mix_sources(df(r, n), TARGETS).collect())) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == two and one
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, bank_id string")
     assert mix_sources(df, TARGETS).collect() == [] and mix_sources(df, []).collect() == []

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mnestra.llm.spans import shared_spans
+from mnestra.llm.spans import shared_passages, shared_spans
 
 
 def brute(rows, span):
@@ -55,6 +55,22 @@ def test_spans_equal_brute_force(spark, seed, hot):
     assert rows_of(shared_spans(df, 20, hot_rows=hot, flush_rows=50)) == brute(rows, 20)
 
 
+def test_passages_are_the_shared_parts(spark):
+    rows = [(1, "x" + "0123456789" * 3 + "y" + "abcdefghij" * 2), (2, "0123456789" * 3), (3, "--" + "abcdefghij" * 2), (4, "nothing in common at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (50_000, 1):
+        assert {tuple(r) for r in shared_passages(df, 12, hot_rows=hot).drop("text_hash").collect()} == {(1, 1, 31), (1, 32, 52), (2, 0, 30), (3, 2, 22)}
+
+
+def test_a_passage_in_a_third_of_all_texts(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = make(27)
+    rows = [(i, make(rng.randint(0, 40)) + (common if i % 3 == 0 else "") + make(rng.randint(0, 40))) for i in range(150)]
+    got = rows_of(shared_spans(spark.createDataFrame(rows, "doc_id long, text string"), 20, hot_rows=10, flush_rows=50))
+    assert got == brute(rows, 20) and len(got) >= 50
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "doc_id long, text string"), 20).collect() == []
 
