@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnestra.functions import text as T
+from mnestra.functions.timex import DAY_MS
 from mnestra.operators.retrieval import knn, top
 
 PLAN = (
@@ -84,8 +85,9 @@ def validate_plans(replies: DataFrame, pooled: DataFrame, facts: DataFrame, max_
 
     A reply with two updates of one observation, with more than ``max_deletes`` deletes or that
     cannot be read is rejected whole.  Creates and updates need a text, a reason
-    and a known fact; updates and deletes need an observation of the batch's pool;
-    a delete of an observation that is also updated goes.
+    and facts of the batch: one that cites none, or any that is not known, goes whole;
+    updates and deletes need an observation of the batch's pool;
+    a delete of an observation that is also updated goes.  Texts are trimmed.
     """
     read = replies.select("batch_id", F.from_json("reply", PLAN).alias("p")).filter("p is not null and (p.creates is not null or p.updates is not null or p.deletes is not null)")
     ids = F.transform(F.coalesce("p.updates", F.array().cast("array<struct<observation_id:bigint,text:string,source_fact_ids:array<bigint>,reason:string>>")), lambda u: u["observation_id"])
@@ -97,8 +99,9 @@ def validate_plans(replies: DataFrame, pooled: DataFrame, facts: DataFrame, max_
     said = F.trim(F.coalesce("reason", F.lit(""))) != ""
     texts = creates.unionByName(updates).filter(said & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     known = facts.select("batch_id", F.col("fact_id").alias("id")).distinct()
-    backed = texts.select("batch_id", "action", "nth", F.explode(F.array_distinct("ids")).alias("id")).join(known, ["batch_id", "id"], "left_semi").groupBy("batch_id", "action", "nth").agg(F.array_sort(F.collect_list("id")).alias("source_fact_ids"))
-    texts = texts.join(backed, ["batch_id", "action", "nth"])
+    cited = texts.select("batch_id", "action", "nth", F.explode(F.array_distinct("ids")).alias("id")).join(known.withColumn("known", F.lit(True)), ["batch_id", "id"], "left")
+    backed = cited.groupBy("batch_id", "action", "nth").agg(F.array_sort(F.collect_list("id")).alias("source_fact_ids"), F.count_if(F.col("known").isNull()).alias("unknown")).filter("unknown = 0").drop("unknown")
+    texts = texts.join(backed, ["batch_id", "action", "nth"]).withColumn("text", F.trim("text"))
     there = pooled.select("batch_id", "observation_id").distinct()
     held = texts.filter("action = 'create'").select("batch_id", "action", "nth", "observation_id", "text", "source_fact_ids")
     changed = texts.filter("action = 'update'").join(there, ["batch_id", "observation_id"], "left_semi").select("batch_id", "action", "nth", "observation_id", "text", "source_fact_ids")
@@ -184,10 +187,20 @@ def list_models(models: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
 
 
 def refresh_inputs(models: DataFrame, facts: DataFrame) -> DataFrame:
-    """(model_id, facts, new_watermark): what was written in the bank after the model's watermark."""
-    mark = models.select("model_id", "bank_id", F.coalesce("refresh_watermark", F.lit(-1)).alias("mark"))
-    by_time = facts.select("bank_id", "created_at")
-    counted = mark.join(by_time, "bank_id").filter("created_at > mark").groupBy("model_id").agg(F.count(F.lit(1)).alias("facts"), F.max("created_at").alias("new_watermark"))
+    """(model_id, facts, new_watermark): what was written in the bank after the model's watermark.
+
+    Facts are counted by day and summed from the last day back; only those of the mark's own day are met one by one.
+    """
+    day = lambda c: F.floor(F.col(c) / DAY_MS)
+    mark = models.select("model_id", "bank_id", F.coalesce("refresh_watermark", F.lit(-1)).alias("mark")).withColumn("day", day("mark"))
+    by_time = facts.select("bank_id", "created_at").filter("created_at is not null").withColumn("day", day("created_at"))
+    days = by_time.groupBy("bank_id", "day").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+    later = Window.partitionBy("bank_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = days.withColumns({"n": F.sum("n").over(later), "last": F.max("last").over(later)})  # from a day on; one row a day
+    # whole days after the mark: the least day with facts above the mark's day
+    ahead = mark.join(days.select("bank_id", F.col("day").alias("d")), "bank_id").filter("d > day").groupBy("model_id", "bank_id").agg(F.min("d").alias("day")).join(steps, ["bank_id", "day"]).select("model_id", "n", "last")
+    same = mark.join(by_time, ["bank_id", "day"]).filter("created_at > mark").groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+    counted = ahead.unionByName(same).groupBy("model_id").agg(F.sum("n").alias("facts"), F.max("last").alias("new_watermark"))
     return mark.join(counted, "model_id", "left").select("model_id", "bank_id", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("new_watermark", F.nullif(F.col("mark"), F.lit(-1))).alias("new_watermark"))
 
 

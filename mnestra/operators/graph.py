@@ -17,35 +17,37 @@ def temporal_weight(distance_ms: Column) -> Column:
     return F.greatest(F.lit(0.3), 1 - distance_ms / float(DAY_MS))
 
 
-def temporal_links(nodes: DataFrame, most: int = 20) -> DataFrame:
+def temporal_links(nodes: DataFrame, most: int = 20, block_days: int = 4) -> DataFrame:
     """Links to the nearest facts of the same bank and type within 24 hours: at most ``most`` a node.
 
     ``nodes(id, bank_id, fact_type, event_date)`` -> (from_node_id, to_node_id,
     weight).  The heaviest come first, then the least ids; beyond 16.8 hours all weights are
     0.3, so that ids alone decide there.
 
-    A node's partners are the ``most`` neighbours in time on either side (lag and
-    lead over (type, time)), if these are nearer than 16.8 hours and no time
-    repeats around them; only the other nodes meet their whole band, by day buckets.
+    Of the nodes at one time only the ``most`` + 1 least ids can be partners.  The
+    ``most`` distinct times on either side (a window over (type, block of days), each
+    block with a day of its neighbours) hold all partners nearer than 16.8 hours; only nodes with too few of
+    these meet their whole band, by day buckets.  No more than ``most`` such nodes lie within 16.8 hours of each other.
     """
     base = nodes.filter("event_date is not null").select("id", "bank_id", "fact_type", F.col("event_date").alias("at")).distinct()
     key = ["bank_id", "fact_type"]
-    order = Window.partitionBy(*key).orderBy("at", "id")
-    same = F.count(F.lit(1)).over(Window.partitionBy(*key, "at"))
-    row = F.struct("at", "id")
-    before = F.collect_list(row).over(order.rowsBetween(-most - 1, -1))
-    after = F.collect_list(row).over(order.rowsBetween(1, most + 1))
-    near = base.withColumns({"near": F.concat(before, after), "tied": same > 1})
-    distance = lambda x: F.abs(x["at"] - F.col("at"))
-    strict = F.filter("near", lambda x: distance(x) < STRICT_MS)
-    # with `most` strictly nearer neighbours and no equal times, nothing outside the frame can be heavier
-    clash = F.exists("near", lambda x: F.exists("near", lambda y: (x["id"] < y["id"]) & (x["at"] == y["at"])))
-    near = near.withColumn("easy", (F.size(strict) >= most) & ~F.col("tied") & ~clash)
-    easy = near.filter("easy").select("id", "at", F.explode(strict).alias("n")).select(F.col("id").alias("from_node_id"), F.col("n.id").alias("to_node_id"), F.abs(F.col("n.at") - F.col("at")).alias("gap"))
-    hard = near.filter(~F.col("easy")).select("id", *key, "at").withColumn("day", F.explode(F.array(*[F.floor(F.col("at") / DAY_MS) + d for d in (-1, 0, 1)])))
+    first = top(base, [*key, "at"], [F.col("id")], most + 1, "_n")
+    times = first.groupBy(*key, "at").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    width = block_days * DAY_MS
+    block = lambda c: F.floor(c / F.lit(width))
+    spread_out = times.withColumn("block", F.explode(F.sequence(block(F.col("at") - DAY_MS), block(F.col("at") + DAY_MS))))
+    order = Window.partitionBy(*key, "block").orderBy("at")
+    near = F.concat(*[F.collect_list(F.struct("at", "ids")).over(order.rowsBetween(*ends)) for ends in ((-most, -1), (1, most))], F.array(F.struct("at", "ids")))
+    framed = spread_out.withColumn("near", near).filter(F.col("block") == block(F.col("at"))).select(*key, "at", "near")
+    gaps = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(F.abs(x["at"] - F.col("at")).alias("gap"), i.alias("id")))))
+    strict = F.slice(F.array_sort(F.filter(gaps, lambda g: g["gap"] < STRICT_MS)), 1, most + 1)
+    framed = framed.select(*key, "at", strict.alias("strict"))
+    met = base.join(framed, [*key, "at"]).withColumn("strict", F.slice(F.filter("strict", lambda g: g["id"] != F.col("id")), 1, most))
+    easy = met.filter(F.size("strict") >= most).select(F.col("id").alias("from_node_id"), F.explode("strict").alias("g")).select("from_node_id", F.col("g.id").alias("to_node_id"), F.col("g.gap").alias("gap"))
+    hard = met.filter(F.size("strict") < most).select("id", *key, "at").withColumn("day", F.explode(F.array(*[F.floor(F.col("at") / DAY_MS) + d for d in (-1, 0, 1)])))
     other = base.select(F.col("id").alias("to_node_id"), *key, F.col("at").alias("to_at")).withColumn("day", F.floor(F.col("to_at") / DAY_MS))
-    met = hard.join(other, [*key, "day"]).withColumn("gap", F.abs(F.col("at") - F.col("to_at"))).filter((F.col("gap") <= DAY_MS) & (F.col("id") != F.col("to_node_id")))
-    pairs = easy.unionByName(met.select(F.col("id").alias("from_node_id"), "to_node_id", "gap")).withColumn("weight", temporal_weight(F.col("gap")))
+    band = hard.join(other, [*key, "day"]).withColumn("gap", F.abs(F.col("at") - F.col("to_at"))).filter((F.col("gap") <= DAY_MS) & (F.col("id") != F.col("to_node_id")))
+    pairs = easy.unionByName(band.select(F.col("id").alias("from_node_id"), "to_node_id", "gap")).withColumn("weight", temporal_weight(F.col("gap")))
     return top(pairs, ["from_node_id"], [F.desc("weight"), F.col("to_node_id")], most, "nth").select("from_node_id", "to_node_id", F.round("weight", 6).alias("weight"))
 
 
@@ -89,11 +91,22 @@ def mention_rollup(mentions: DataFrame, stored: DataFrame | None = None) -> Data
     return rows.groupBy("bank_id", "name").agg(F.sum("n").alias("mention_count"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
 
 
-def entity_cooccurrence(members: DataFrame) -> DataFrame:
-    """(entity_id_1, entity_id_2, together, last_at) of ``members(node_id, entity_id, at)``; the entities of a node are few."""
-    lists = members.groupBy("node_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"), F.max("at").alias("at")).filter(F.size("e") > 1)
-    pair = F.expr("inline(flatten(transform(e, (x, i) -> transform(slice(e, i + 2, size(e)), y -> struct(x AS entity_id_1, y AS entity_id_2)))))")
-    return lists.select("at", pair).groupBy("entity_id_1", "entity_id_2").agg(F.count(F.lit(1)).alias("together"), F.max("at").alias("last_at"))
+def entity_cooccurrence(members: DataFrame, chunk: int = 64) -> DataFrame:
+    """(entity_id_1, entity_id_2, together, last_at) of ``members(node_id, entity_id, at)``.
+
+    The entities of a node are cut into chunks of at most about ``chunk``, and each pair of
+    chunks is a row of its own, so a node with very many entities is worked on by many tasks.
+    """
+    unique = members.groupBy("node_id", "entity_id").agg(F.max("at").alias("at"))
+    sizes = unique.groupBy("node_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.max("at").alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cut = unique.select("node_id", "entity_id").join(sizes, "node_id").withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("chunks")).cast("int"))
+    lists = cut.groupBy("node_id", "at", "chunks", "own").agg(F.array_sort(F.collect_list("entity_id")).alias("e"))
+    within = F.expr("inline(flatten(transform(e, (x, i) -> transform(slice(e, i + 2, size(e)), y -> struct(x AS entity_id_1, y AS entity_id_2)))))")
+    pairs = lists.select("at", within)
+    wide = lists.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("own <> other")
+    met = wide.groupBy("node_id", "at", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2")).agg(F.collect_list("e").alias("sides")).filter("size(sides) = 2")
+    across = F.expr("inline(flatten(transform(sides[0], x -> transform(sides[1], y -> struct(least(x, y) AS entity_id_1, greatest(x, y) AS entity_id_2)))))")
+    return pairs.unionByName(met.select("at", across)).groupBy("entity_id_1", "entity_id_2").agg(F.count(F.lit(1)).alias("together"), F.max("at").alias("last_at"))
 
 
 def resolution_context(entities: DataFrame, pairs: DataFrame, newest: int = 5000, partners: int = 64) -> DataFrame:
@@ -121,10 +134,13 @@ def induced_edges(nodes: DataFrame, links: DataFrame, per_node: int = 50) -> Dat
     """Links with both ends among the nodes of a bank; at most ``per_node`` times the number of its nodes."""
     ends = nodes.select("id", "bank_id")
     inside = links.join(ends.withColumnsRenamed({"id": "from_node_id"}), "from_node_id").join(ends.select(F.col("id").alias("to_node_id"), F.col("bank_id").alias("to_bank")), "to_node_id").filter("bank_id = to_bank")
-    size = ends.groupBy("bank_id").agg((F.count(F.lit(1)) * per_node).alias("most"))
     unique = inside.select("bank_id", "from_node_id", "to_node_id", "link_type", "entity_id", "weight").groupBy("bank_id", "from_node_id", "to_node_id", "link_type", "entity_id").agg(F.max("weight").alias("weight"))
-    ranked = top(unique, ["bank_id"], [F.desc("weight"), F.col("from_node_id"), F.col("to_node_id"), F.col("link_type"), F.col("entity_id")], None, "nth")
-    return ranked.join(size, "bank_id").filter("nth <= most").drop("nth", "most")
+    unique = materialise(unique, "view-edges")
+    size = ends.groupBy("bank_id").agg((F.count(F.lit(1)) * per_node).alias("most"))
+    over = unique.groupBy("bank_id").agg(F.count(F.lit(1)).alias("n")).join(size, "bank_id").filter("n > most").select("bank_id", "most")  # only these banks are ranked
+    columns = unique.columns
+    ranked = top(unique.join(over, "bank_id"), ["bank_id"], [F.desc("weight"), F.col("from_node_id"), F.col("to_node_id"), F.col("link_type"), F.col("entity_id")], None, "nth").filter("nth <= most")
+    return unique.join(over.select("bank_id"), "bank_id", "left_anti").select(*columns).unionByName(ranked.select(*columns))
 
 
 def neighbours(links: DataFrame, per_type: int = 20) -> DataFrame:
@@ -155,25 +171,35 @@ def quantiles_by_rank(values: DataFrame, by: list[str], value: str, quantiles: d
     return placed.groupBy(*by).agg(F.first("all").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("n")) / F.first("all")).alias("mean"), *out)
 
 
+LINK_TYPES = ("semantic", "temporal", "entity", "caused_by", "causes", "enables", "prevents")
+
+
 def anatomy(nodes: DataFrame, links: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """One row a bank: nodes, links, cross-type links, isolated nodes, degrees and components."""
+    """One row a bank: nodes, links (also by type), cross-type links, provenance edges, isolated nodes, degrees and components.
+
+    ``sources(observation_id, source_id)`` are the provenance edges; they join no components.
+    """
     place = nodes.select(F.col("id"), "bank_id", "fact_type")
     unique = links.select("from_node_id", "to_node_id", "link_type", "entity_id").distinct()
     inside = unique.join(place.toDF("from_node_id", "bank_id", "from_type"), "from_node_id").join(place.toDF("to_node_id", "to_bank", "to_type"), "to_node_id").filter("bank_id = to_bank")
     inside = materialise(inside.select("bank_id", "from_node_id", "to_node_id", "link_type", "entity_id", "from_type", "to_type"), "inside")
-    linked = inside.groupBy("bank_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("from_type") != F.col("to_type")).alias("cross_type_links"))
+    typed = [F.count_if(F.col("link_type") == t).alias(f"{t}_links") for t in LINK_TYPES]
+    linked = inside.groupBy("bank_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("from_type") != F.col("to_type")).alias("cross_type_links"), *typed)
     degree = degrees(nodes, inside)
     spread = quantiles_by_rank(degree, ["bank_id"], "degree", {"degree_p50": 0.5, "degree_p90": 0.9}).select("bank_id", F.col("n").alias("nodes"), F.col("min").alias("degree_min"), "degree_p50", "degree_p90", F.col("max").alias("degree_max"), F.round("mean", 6).alias("degree_mean"))
     alone = degree.groupBy("bank_id").agg(F.count_if(F.col("degree") == 0).alias("isolated"))
     parts = components(nodes, inside)
     counted = parts.groupBy("bank_id", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bank_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest_component"))
     out = spread.join(linked, "bank_id", "left").join(alone, "bank_id").join(counted, "bank_id")
-    return out.fillna(0, ["links", "cross_type_links"])
+    if sources is not None:
+        backed = sources.distinct().join(place.select(F.col("id").alias("observation_id"), "bank_id"), "observation_id").groupBy("bank_id").agg(F.count(F.lit(1)).alias("provenance_edges"))
+        out = out.join(backed, "bank_id", "left")
+    return out.fillna(0)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(bank_id, node_id, component): every node, alone if it has no link."""
-    found = connected_components(links.select(F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst"))).withColumnRenamed("node", "node_id")
+    """(bank_id, node_id, component): every node, alone if it has no link.  ``links`` lie within banks, named by ``bank_id``."""
+    found = connected_components(links.select(F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst"), "bank_id"), group="bank_id").withColumnRenamed("node", "node_id")
     return nodes.select("bank_id", F.col("id").alias("node_id")).join(found, "node_id", "left").select("bank_id", "node_id", F.coalesce("component", "node_id").alias("component"))
 
 

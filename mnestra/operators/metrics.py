@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnestra.operators.retrieval import top
 
 #: Upper bounds of the latency buckets in microseconds; a last bucket takes the rest.
-BOUNDS = (100, 250, 500, 1_000, 2_500, 5_000, 7_500, 10_000, 15_000, 20_000, 25_000, 35_000, 50_000, 60_000, 75_000, 100_000, 250_000, 500_000, 1_000_000, 5_000_000)
+BOUNDS = (100, 500, 1_000, 2_000, 5_000, 10_000, 15_000, 20_000, 25_000, 30_000, 35_000, 40_000, 45_000, 50_000, 55_000, 60_000, 100_000, 250_000, 500_000)
 
 
 def bucket(value: Column, bounds: tuple[int, ...] = BOUNDS) -> Column:
@@ -26,12 +26,15 @@ def histogram(samples: DataFrame, by: list[str], value: str, bounds: tuple[int,
 
 
 def histogram_quantiles(counts: DataFrame, by: list[str], bounds: tuple[int, ...] = BOUNDS, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Quantiles interpolated inside the bucket that holds the ceil(q n)-th value, never above the largest value."""
+    """Quantiles interpolated inside the bucket that holds the ceil(q n)-th value, never above the largest value.
+
+    The last bucket has no upper bound, so a quantile in it is the largest value.
+    """
     run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     edges = F.array(*[F.lit(float(b)) for b in (0, *bounds)])
     rows = counts.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(whole), "top": F.max("most").over(whole)})
-    rows = rows.withColumns({"low": F.element_at(edges, F.col("bucket") + 1), "high": F.when(F.col("bucket") < len(bounds), F.element_at(edges, F.least(F.col("bucket") + 2, F.lit(len(bounds) + 1)))).otherwise(F.col("top").cast("double"))})
+    rows = rows.withColumns({"low": F.element_at(edges, F.col("bucket") + 1), "high": F.when(F.col("bucket") < len(bounds), F.element_at(edges, F.least(F.col("bucket") + 2, F.lit(len(bounds) + 1)))).otherwise(float("inf"))})
     out = []
     for q in quantiles:
         target = F.least(F.greatest(F.ceil(F.col("all") * F.lit(q)), F.lit(1)), F.col("all"))
@@ -42,7 +45,8 @@ def histogram_quantiles(counts: DataFrame, by: list[str], bounds: tuple[int, ...
 
 
 def under_limits(samples: DataFrame, by: list[str], value: str, limits: tuple[int, ...] = (35_000, 60_000)) -> DataFrame:
-    return samples.groupBy(*by).agg(*[F.count_if(F.col(value) < limit).alias(f"under_{limit}") for limit in limits])
+    """How many values are at most a limit; limits are bounds of buckets, which belong to the bucket below."""
+    return samples.groupBy(*by).agg(*[F.count_if(F.col(value) <= limit).alias(f"under_{limit}") for limit in limits])
 
 
 def saving(raw: Column, capped: Column) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnestra.functions import text as T
-from mnestra.functions.timex import DAY_MS
-from mnestra.session import materialise, spread
+from mnestra.functions.timex import DAY_MS, query_window
+from mnestra.session import kept, materialise, spread
 
 ARMS = ("semantic", "bm25", "graph", "temporal")
 CAUSAL = ("caused_by", "causes", "enables", "prevents")
@@ -81,6 +81,7 @@ class Store:
     node_entities: DataFrame | None = None  # node_id, entity_id
     tags: DataFrame | None = None  # node_id, tag
     sources: DataFrame | None = None  # observation_id, source_id
+    index: TextIndex | None = None  # of the nodes' texts; built for a recall that is given none
     extra: dict = field(default_factory=dict)
 
 
@@ -113,46 +114,75 @@ def postings(nodes: DataFrame) -> DataFrame:
     return flat.groupBy("node_id", "bank_id", "fact_type", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, nodes: DataFrame, k: int, types: tuple[str, ...] | None = None) -> DataFrame:
+@dataclass
+class TextIndex:
+    """What full-text search reads: postings, the distinct terms, and one row of statistics."""
+
+    postings: DataFrame  # node_id, bank_id, fact_type, term, tf, doc_len
+    terms: DataFrame  # term
+    stats: DataFrame  # n_docs, mean_len
+
+
+def text_index(nodes: DataFrame, keep: str | None = None) -> TextIndex:
+    """The index of the texts of nodes, written into the shared folder.
+
+    With a name in ``keep`` it stays there for the session, and is read again for the same files.
+    """
+    read = nodes.filter(F.col("text").isNotNull()).select("id", "bank_id", "fact_type", "text")
+
+    def build() -> DataFrame:
+        return postings(spread(read))
+
+    terms = kept(build, f"{keep}-postings", nodes) if keep else materialise(build(), "postings")
+    vocabulary = kept(lambda: terms.select("term").distinct(), f"{keep}-terms", nodes) if keep else materialise(terms.select("term").distinct(), "terms")
+
+    def counted() -> DataFrame:
+        lengths = terms.select("node_id", "doc_len").distinct().agg(F.sum("doc_len").alias("all_len"))
+        return read.agg(F.count(F.lit(1)).alias("n_docs")).join(F.broadcast(lengths)).select("n_docs", (F.coalesce("all_len", F.lit(0)) / F.col("n_docs")).alias("mean_len"))
+
+    return TextIndex(terms, vocabulary, kept(counted, f"{keep}-stats", nodes) if keep else counted())
+
+
+def bm25(queries: DataFrame, nodes: DataFrame, k: int, types: tuple[str, ...] | None = None, index: TextIndex | None = None) -> DataFrame:
     """Okapi BM25 over prefix terms joined by OR; lower is better, as the score is negated.
 
     Document counts and the mean length are those of all banks; the bank and type
     filters hold before the limit.  Prefixes are made only at the lengths that
-    query terms have, so prefix matching is an equi-join.
+    query terms have, so prefix matching is an equi-join.  Without an ``index`` one is built.
     """
+    index = index or text_index(nodes)
     asked = queries.select("qid", "bank_id", F.explode(T.query_terms("text")).alias("term"))
     wanted = asked.select("term").distinct()
     lengths = [r[0] for r in wanted.select(F.length("term")).distinct().collect()]  # lengths of words
-    terms = materialise(postings(spread(nodes.filter(F.col("text").isNotNull()).select("id", "bank_id", "fact_type", "text"))), "postings")
-    docs = terms.select("node_id", "doc_len").distinct().agg(F.sum("doc_len").alias("all_len"))
-    stats = nodes.filter(F.col("text").isNotNull()).agg(F.count(F.lit(1)).alias("n_docs")).join(F.broadcast(docs)).select("n_docs", (F.coalesce("all_len", F.lit(0)) / F.col("n_docs")).alias("mean_len"))
     prefixes = F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     # every distinct word is cut once, however many texts it stands in
-    words = terms.select(F.col("term").alias("word")).distinct().select("word", F.explode(F.array_compact(prefixes)).alias("term")).join(wanted, "term", "left_semi")
-    matched = terms.withColumnRenamed("term", "word").join(words, "word").groupBy("term", "node_id", "bank_id", "fact_type", "doc_len").agg(F.sum("tf").alias("tf"))
+    words = index.terms.select(F.col("term").alias("word")).select("word", F.explode(F.array_compact(prefixes)).alias("term")).join(wanted, "term", "left_semi")
+    matched = index.postings.withColumnRenamed("term", "word").join(words, "word").groupBy("term", "node_id", "bank_id", "fact_type", "doc_len").agg(F.sum("tf").alias("tf"))
     df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if types:
         matched = matched.filter(F.col("fact_type").isin(*types))
-    hits = asked.join(matched, ["bank_id", "term"]).join(df, "term").join(F.broadcast(stats))
+    hits = asked.join(matched, ["bank_id", "term"]).join(df, "term").join(F.broadcast(index.stats))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
     scored = hits.groupBy("qid", "node_id").agg((-F.round(F.sum(part), 6)).alias("score"))
     return top(scored, ["qid"], [F.col("score"), F.col("node_id")], k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000, threshold: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000, threshold: float | None = None, query_block: int = 4_000) -> DataFrame:
     """The ``k`` most similar vectors of the query's bank by cosine similarity (score, rounded to 6 digits).
 
-    Exact: the vectors of a bank are scanned as matrix products, in blocks of about
-    ``block`` rows, so a bank of any size is spread over tasks; only the best
-    ``k`` of a block move on.  Vectors of another length than the query's, or
-    without length, are passed over.
+    Exact: queries and vectors of a bank are cut into a grid of blocks of about ``query_block``
+    by ``block`` rows, and every cell is a matrix product of its own, so neither side of a bank of any
+    size comes into one task; only the best ``k`` of a cell move on.  Vectors of another length
+    than the query's, or without length, are passed over.
     """
-    sizes = vectors.groupBy("bank_id").count().filter(F.col("count") > block)
-    large = {r["bank_id"]: -(-r["count"] // block) for r in sizes.collect()}  # at most rows / block banks
-    parts = F.coalesce(F.create_map(*[F.lit(x) for b, n in large.items() for x in (b, n)])[F.col("bank_id")], F.lit(1)) if large else F.lit(1)
-    stored = vectors.select("bank_id", "node_id", "embedding", F.pmod(F.xxhash64("node_id"), parts).cast("int").alias("part"))
-    asked = queries.select("bank_id", "qid", "vector", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part")).toDF("q_bank", "qid", "vector", "q_part")
+    parts = vectors.groupBy("bank_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("v_parts"))
+    asked_parts = queries.groupBy("bank_id").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("q_parts"))
+    grid = parts.join(asked_parts, "bank_id")  # a row a bank that is asked
+    stored = vectors.select("bank_id", "node_id", "embedding").join(grid, "bank_id").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("v_parts")).cast("int"))
+    stored = stored.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("bank_id", "node_id", "embedding", "row", "part")
+    asked = queries.select("bank_id", "qid", "vector").join(grid, "bank_id").withColumn("row", F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1))).select("bank_id", "qid", "vector", "row", "part").toDF("q_bank", "qid", "vector", "q_row", "q_part")
 
     def scan(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": np.empty(0, np.int64), "node_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -171,14 +201,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000, thr
                 for lo in range(0, len(some), 512):
                     scores = np.round(unit(some["vector"].iloc[lo : lo + 512]) @ stack.T, 6)
                     scores[~np.isfinite(scores) | ((scores < threshold) if threshold is not None else False)] = -9.0
-                    for row, qid in zip(scores, some["qid"].iloc[lo : lo + 512]):
-                        near = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -2.0))
-                        near = near[row[near] > -2.0]
-                        near = near[np.lexsort((ids[near], -row[near]))][:k]
-                        out.append(pd.DataFrame({"qid": qid, "node_id": ids[near], "score": row[near]}))
+                    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -2.0)
+                    by, near = np.nonzero((scores >= least[:, None]) & (scores > -2.0))
+                    found = scores[by, near]
+                    order = np.lexsort((ids[near], -found, by))
+                    by, near, found = by[order], near[order], found[order]
+                    best = np.arange(len(by)) - np.searchsorted(by, by) < k
+                    out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[lo:][by[best]], "node_id": ids[near[best]], "score": found[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
-    found = asked.groupBy("q_bank", "q_part").cogroup(stored.groupBy("bank_id", "part")).applyInPandas(scan, "qid long, node_id long, score double")
+    found = asked.groupBy("q_bank", "q_row", "q_part").cogroup(stored.groupBy("bank_id", "row", "part")).applyInPandas(scan, "qid long, node_id long, score double")
     return top(found, ["qid"], [F.desc("score"), F.col("node_id")], k)
 
 
@@ -309,13 +341,33 @@ def rerank(candidates: DataFrame, scorer, top_k: int = 10) -> DataFrame:
     return judged.filter(~F.col("_there") | F.col("_s").isNotNull()).withColumn("base", F.when(F.col("_there"), F.col("_s"))).drop("_s", "_there")
 
 
-def render(results: DataFrame, tag: str = "memories", preamble: str = "") -> DataFrame:
-    """(qid, injected_text): the results as lines of a tagged block that their texts cannot end."""
-    date = T.clock(effective_ms())
-    line = F.concat(F.lit("- "), T.defang(F.col("text"), tag), F.lit(" ["), F.col("fact_type"), F.lit("]"), F.coalesce(F.concat(F.lit(" ("), date, F.lit(")")), F.lit("")))
+def render(results: DataFrame, now_ms: int, tag: str = "memories", preamble: str = "") -> DataFrame:
+    """(qid, injected_text): the results as lines of a tagged block that their texts cannot end.
+
+    The block begins with the preamble and the time; a line ends with the time at which its fact was mentioned.
+    """
+    line = F.concat(F.lit("- "), T.defang(F.col("text"), tag), F.lit(" ["), F.col("fact_type"), F.lit("]"), F.coalesce(F.concat(F.lit(" ("), T.clock(F.col("mentioned_at")), F.lit(")")), F.lit("")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
-    head = f"<{tag}>\n" + (preamble + "\n" if preamble else "")
-    return results.groupBy("qid").agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit(f"\n</{tag}>")).alias("injected_text"))
+    head = F.concat(F.lit(f"<{tag}>\n{preamble}\nCurrent time - "), T.clock(F.lit(now_ms)), F.lit("\n\n"))
+    return results.groupBy("qid").agg(F.concat(head, F.array_join(lines, "\n\n"), F.lit(f"\n</{tag}>")).alias("injected_text"))
+
+
+MAX_QUERY_BYTES = 8192
+
+
+def rejected(queries: DataFrame, banks: DataFrame | None = None) -> DataFrame:
+    """(qid, problem) of queries that are not answered: texts of over 8 KB, and banks that do not exist."""
+    long = queries.filter(F.octet_length("text") > MAX_QUERY_BYTES).select("qid", F.lit("query too long").alias("problem"))
+    if banks is None:
+        return long
+    unknown = queries.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_QUERY_BYTES).join(banks.select("bank_id").distinct(), "bank_id", "left_anti")
+    return long.unionByName(unknown.select("qid", F.lit("unknown bank").alias("problem")))
+
+
+def with_windows(queries: DataFrame, now_ms: int) -> DataFrame:
+    """``queries`` with ``first_ms, last_ms``: what the text says about time; null where it says nothing or nothing that bounds it."""
+    said = queries.withColumn("_w", query_window(F.col("text"), now_ms))
+    return said.withColumns({"first_ms": F.col("_w.first_ms"), "last_ms": F.col("_w.last_ms")}).drop("_w")
 
 
 def hydrate(ids: DataFrame, store: Store) -> DataFrame:
@@ -333,12 +385,14 @@ def hydrate(ids: DataFrame, store: Store) -> DataFrame:
 def recall(queries: DataFrame, store: Store, params: RecallParams | None = None, scorer=None) -> DataFrame:
     """The whole pipeline: four arms, two fusions, scores, two deduplications, budgets.
 
-    ``queries(qid, bank_id, text, vector, first_ms, last_ms)`` -> (qid, place,
+    ``queries(qid, bank_id, text, vector)`` -> (qid, place,
     node_id, final, rrf, arms, tokens, total_tokens, text, fact_type, ...).
-    Queries of fewer characters than ``min_query_chars`` have no results.
+    A query's window of time is read from its text, unless columns ``first_ms, last_ms`` give it.
+    Queries of fewer characters than ``min_query_chars`` have no results, nor have those that are ``rejected``.
     """
     p = (params or RecallParams()).checked()
-    queries = materialise(queries.filter(F.length(F.trim("text")) >= p.min_query_chars), "queries")
+    queries = queries.filter((F.length(F.trim("text")) >= p.min_query_chars) & (F.octet_length("text") <= MAX_QUERY_BYTES))
+    queries = materialise(queries if "first_ms" in queries.columns else with_windows(queries, p.now_ms), "queries")
     nodes = store.nodes.withColumnRenamed("id", "node_id")
     tags = store.tags.groupBy("node_id").agg(F.collect_set("tag").alias("tags")) if store.tags is not None and p.tags else None
     keep = nodes.filter(F.col("fact_type").isin(*p.types))
@@ -346,20 +400,20 @@ def recall(queries: DataFrame, store: Store, params: RecallParams | None = None,
         keep = keep.join(tags, "node_id", "left").filter(tag_match(F.col("tags"), list(p.tags), p.tag_mode))
     keep = keep.select("node_id")
 
-    def kept(arm: DataFrame) -> DataFrame:
+    def allowed(arm: DataFrame) -> DataFrame:
         return top(arm.join(keep, "node_id", "left_semi").withColumnRenamed("rank", "_r"), ["qid"], [F.col("_r")], None).drop("_r")
 
-    arms = {"bm25": kept(bm25(queries, store.nodes, p.fetch, p.types)), "temporal": kept(temporal_arm(queries, store.nodes, p.fetch))}
+    arms = {"bm25": allowed(bm25(queries, store.nodes, p.fetch, p.types, store.index)), "temporal": allowed(temporal_arm(queries, store.nodes, p.fetch))}
     if store.vectors is not None:
         near = knn(queries, store.vectors, p.fetch)
         if p.embedding_model is not None:  # after the k nearest, as the index does not know the model
             near = near.join(store.vectors.filter(F.col("embedding_model") == p.embedding_model).select("node_id"), "node_id", "left_semi")
-        arms["semantic"] = kept(near)
+        arms["semantic"] = allowed(near)
     arms = {name: materialise(arm.select("qid", "node_id", "rank", "score"), name) for name, arm in arms.items()}
     if store.links is not None:
         first = fuse(arms, p.rrf_k, p.cap_per_source).filter(F.col("rrf_rank") <= p.seeds)
         seeds = first.join(queries.select("qid", "bank_id"), "qid").select("qid", "bank_id", "node_id")
-        arms["graph"] = materialise(kept(graph_arm(materialise(seeds, "seeds"), store, p.graph_cap)).select("qid", "node_id", "rank", "score"), "graph")
+        arms["graph"] = materialise(allowed(graph_arm(materialise(seeds, "seeds"), store, p.graph_cap)).select("qid", "node_id", "rank", "score"), "graph")
     merged = fuse(arms, p.rrf_k, p.cap_per_source)
     columns = ["node_id", "bank_id", "fact_type", "text", "context", "occurred_start", "occurred_end", "mentioned_at", "proof_count"]
     candidates = merged.join(nodes.select(*columns), "node_id").join(queries.select("qid", F.col("text").alias("query_text"), "first_ms", "last_ms"), "qid").withColumn("base", F.lit(None).cast("double"))

@@ -53,12 +53,20 @@ def stratified_sample(rows: DataFrame, by: str, key: str, want: int, seed: int =
     """A seeded sample with a share for every stratum: round(want n / all), at least one row.
 
     Which rows are taken follows from hashes of seed and key, so the sample is the same every time.
+    A stratum is not ranked whole: rows go on whose hash is below a threshold that some twice the share and
+    forty more are expected to pass; a stratum in which too few do is ranked again without it.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"))
     quota = sizes.join(F.broadcast(total)).select(by, F.greatest(F.lit(1), F.floor(F.lit(want) * F.col("_n") / F.col("_all") + 0.5)).alias("_quota"))
-    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), F.col(key)]
-    return top(rows, [by], order, None, "_place").join(quota, by).filter("_place <= _quota").drop("_place", "_quota")
+    quota = quota.join(sizes, by).withColumn("_upto", (2 * F.col("_quota") + 40) / F.col("_n"))
+    hashed = rows.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))).join(quota, by)
+    low = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / float(2**32) <= F.col("_upto")
+    some = hashed.filter(low)
+    short = some.groupBy(by).agg((F.count(F.lit(1)) < F.first("_quota")).alias("_short"))
+    short = quota.select(by).join(short, by, "left").filter(F.coalesce("_short", F.lit(True))).select(by)
+    chosen = some.unionByName(hashed.filter(~low).join(short, by, "left_semi"))
+    return top(chosen, [by], [F.col("_hash"), F.col(key)], None, "_place").filter("_place <= _quota").select(*rows.columns)
 
 
 def link_differences(stored: DataFrame, derived: DataFrame) -> DataFrame:

@@ -176,17 +176,18 @@ def detail(t: Tables) -> DataFrame:
 
 @query(
     "a5_anatomy",
-    f"""WITH RECURSIVE {_COMP},
+    f"""WITH RECURSIVE {_COMP}, {D.SOURCES},
 d0 AS (SELECT node_id, count(*) AS degree FROM (SELECT from_node_id AS node_id FROM ins UNION ALL SELECT to_node_id FROM ins) GROUP BY 1),
 d AS (SELECT n.bank_id, n.id, coalesce(d0.degree, 0) AS degree FROM memory_nodes n LEFT JOIN d0 ON d0.node_id = n.id),
 s AS (SELECT bank_id, count(*) AS nodes, min(degree) AS degree_min, max(degree) AS degree_max, round(avg(degree), 6) AS degree_mean, count(*) FILTER (degree = 0) AS isolated,
       list_sort(list(degree))[least(floor(count(*) * 0.5::DOUBLE), count(*) - 1)::BIGINT + 1] AS degree_p50, list_sort(list(degree))[least(floor(count(*) * 0.9::DOUBLE), count(*) - 1)::BIGINT + 1] AS degree_p90 FROM d GROUP BY 1),
-l AS (SELECT bank_id, count(*) AS links, count(*) FILTER (ft <> tt) AS cross_type_links FROM ins GROUP BY 1),
+l AS (SELECT bank_id, count(*) AS links, count(*) FILTER (ft <> tt) AS cross_type_links, {", ".join(f"count(*) FILTER (link_type = '{k}') AS {k}_links" for k in ("semantic", "temporal", "entity", "caused_by", "causes", "enables", "prevents"))} FROM ins GROUP BY 1),
+v AS (SELECT o.bank_id, count(*) AS provenance_edges FROM sources s JOIN memory_nodes o ON o.id = s.observation_id GROUP BY 1),
 c AS (SELECT bank_id, count(*) AS components, max(n) AS largest_component FROM (SELECT bank_id, component, count(*) AS n FROM comp GROUP BY ALL) GROUP BY 1)
-SELECT s.*, coalesce(l.links, 0) AS links, coalesce(l.cross_type_links, 0) AS cross_type_links, c.components, c.largest_component FROM s LEFT JOIN l ON l.bank_id = s.bank_id JOIN c ON c.bank_id = s.bank_id""",
+SELECT s.*, coalesce(l.links, 0) AS links, coalesce(l.cross_type_links, 0) AS cross_type_links, {", ".join(f"coalesce(l.{k}_links, 0) AS {k}_links" for k in ("semantic", "temporal", "entity", "caused_by", "causes", "enables", "prevents"))}, coalesce(v.provenance_edges, 0) AS provenance_edges, c.components, c.largest_component FROM s LEFT JOIN v ON v.bank_id = s.bank_id LEFT JOIN l ON l.bank_id = s.bank_id JOIN c ON c.bank_id = s.bank_id""",
 )
 def anatomy(t: Tables) -> DataFrame:
-    return G.anatomy(t("memory_nodes"), t("links"))
+    return G.anatomy(t("memory_nodes"), t("links"), D.sources(t))
 
 
 @query(
@@ -198,7 +199,7 @@ row_number() OVER (PARTITION BY bank_id ORDER BY count(*) DESC, component) AS nt
 def largest_components(t: Tables) -> DataFrame:
     nodes = t("memory_nodes")
     place = nodes.select("id", "bank_id")
-    inside = t("links").join(place.toDF("from_node_id", "b1"), "from_node_id").join(place.toDF("to_node_id", "b2"), "to_node_id").filter("b1 = b2")
+    inside = t("links").join(place.toDF("from_node_id", "bank_id"), "from_node_id").join(place.toDF("to_node_id", "to_bank"), "to_node_id").filter("bank_id = to_bank")
     return G.largest_components(nodes, inside)
 
 
@@ -362,21 +363,26 @@ def merged_sources(t: Tables) -> DataFrame:
 @query(
     "c6_plans",
     """WITH o AS (SELECT bank_id, id, text, row_number() OVER (PARTITION BY bank_id ORDER BY id) AS n FROM memory_nodes WHERE fact_type = 'observation'), f AS (SELECT bank_id, min(id) AS fact FROM memory_nodes WHERE fact_type = 'world' GROUP BY 1)
-SELECT o.bank_id AS batch_id, 'update' AS action, o.id AS observation_id, 'new ' || o.text AS text, f.fact::VARCHAR AS ids FROM o JOIN f ON f.bank_id = o.bank_id WHERE o.n = 1
-UNION ALL SELECT f.bank_id, 'create', NULL, 'made of ' || f.fact, f.fact::VARCHAR FROM f WHERE bank_id IN (SELECT bank_id FROM o)
-UNION ALL SELECT o.bank_id, 'delete', o.id, NULL, '' FROM o JOIN f ON f.bank_id = o.bank_id WHERE o.n = 2""",
+SELECT o.bank_id AS batch_id, 'update' AS action, o.id AS observation_id, 'new ' || trim(o.text) AS text, f.fact::VARCHAR AS ids FROM o JOIN f ON f.bank_id = o.bank_id WHERE o.n = 1 AND f.fact % 4 = 0
+UNION ALL SELECT f.bank_id, 'create', NULL, 'made of ' || f.fact, f.fact::VARCHAR FROM f WHERE bank_id IN (SELECT bank_id FROM o) AND f.fact % 4 IN (0, 3)
+UNION ALL SELECT o.bank_id, 'delete', o.id, NULL, '' FROM o JOIN f ON f.bank_id = o.bank_id WHERE (o.n = 2 AND f.fact % 4 = 0) OR (o.n <= 2 AND f.fact % 4 = 3)""",
 )
 def plans(t: Tables) -> DataFrame:
+    """A reply a bank, by the rest of its fact's id over 4: 0 holds, 1 updates twice, 2 deletes thrice, 3 has an update that cites what is no fact."""
     nodes = t("memory_nodes")
     obs = top(nodes.filter("fact_type = 'observation'").select("bank_id", "id", "text"), ["bank_id"], [F.col("id")], None, "n")
     facts = nodes.filter("fact_type = 'world'").groupBy("bank_id").agg(F.min("id").alias("fact"))
-    one = obs.filter("n = 1").select("bank_id", F.col("id").alias("o1"), F.col("text").alias("t1")).join(obs.filter("n = 2").select("bank_id", F.col("id").alias("o2")), "bank_id", "left").join(facts, "bank_id")
-    known = F.array(F.col("fact"), F.lit(-5).cast("long"))  # -5 is no fact
-    reason = F.lit("because").alias("reason")
+    one = obs.filter("n = 1").select("bank_id", F.col("id").alias("o1"), F.trim("text").alias("t1")).join(obs.filter("n = 2").select("bank_id", F.col("id").alias("o2")), "bank_id", "left").join(facts, "bank_id")
+    known, partly = F.array("fact"), F.array(F.col("fact"), F.lit(-5).cast("long"))  # -5 is no fact
+    because, kind = F.lit("because").alias("reason"), F.col("fact") % 4
+    create = lambda text, ids, reason=because: F.struct(text.alias("text"), ids.alias("source_fact_ids"), reason)
+    made = F.concat(F.lit(" made of "), F.col("fact").cast("string"), F.lit(" "))
+    update = F.struct(F.col("o1").alias("observation_id"), F.concat(F.lit("new "), "t1", F.lit(" ")).alias("text"), F.when(kind == 3, partly).otherwise(known).alias("source_fact_ids"), because)
+    delete = lambda c: F.struct(F.col(c).alias("observation_id"), because)
     reply = F.struct(
-        F.array(F.struct(F.concat(F.lit("made of "), F.col("fact").cast("string")).alias("text"), known.alias("source_fact_ids"), reason), F.struct(F.lit("").alias("text"), known.alias("source_fact_ids"), reason)).alias("creates"),
-        F.array(F.struct(F.col("o1").alias("observation_id"), F.concat(F.lit("new "), "t1").alias("text"), known.alias("source_fact_ids"), reason)).alias("updates"),
-        F.array(F.struct(F.col("o2").alias("observation_id"), reason), F.struct(F.col("o1").alias("observation_id"), reason)).alias("deletes"),
+        F.array(create(made, known), create(made, partly), create(F.lit(" "), known), create(made, known, F.lit("").alias("reason")), create(made, F.array().cast("array<bigint>"))).alias("creates"),
+        F.when(kind == 1, F.array(update, update)).otherwise(F.array(update)).alias("updates"),
+        F.when(kind == 2, F.array(delete("o2"), delete("o1"), delete("o1"))).otherwise(F.array(delete("o2"), delete("o1"))).alias("deletes"),
     )
     replies = one.select(F.col("bank_id").alias("batch_id"), F.to_json(reply).alias("reply"))
     actions = C.validate_plans(replies, obs.select(F.col("bank_id").alias("batch_id"), F.col("id").alias("observation_id")), facts.select(F.col("bank_id").alias("batch_id"), F.col("fact").alias("fact_id")))

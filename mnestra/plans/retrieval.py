@@ -45,7 +45,7 @@ def query_terms(t: Tables) -> DataFrame:
 
 @query("r2_bm25", f"WITH {_BM25} SELECT * FROM bm25")
 def bm25(t: Tables) -> DataFrame:
-    return R.bm25(D.asked(t), t("memory_nodes"), 100)
+    return R.bm25(D.asked(t), t("memory_nodes"), 100, index=D.index(t))
 
 
 @query("r3_knn", f"WITH {D.ASKED}, {_KNN} SELECT * FROM knn")
@@ -87,7 +87,8 @@ fused AS (SELECT qid, node_id, rrf, semantic, keyword, row_number() OVER (PARTIT
 def _arms(t: Tables) -> dict[str, DataFrame]:
     asked = materialise(D.asked(t), "asked")
     nodes = t("memory_nodes")
-    return {"semantic": R.knn(asked.filter("vector is not null"), D.vectors(t), 100), "bm25": R.bm25(asked, nodes, 100), "temporal": R.temporal_arm(asked, nodes, 100)}
+    found = {"semantic": R.knn(asked.filter("vector is not null"), D.vectors(t), 100), "bm25": R.bm25(asked, nodes, 100, index=D.index(t)), "temporal": R.temporal_arm(asked, nodes, 100)}
+    return {name: materialise(arm.select("qid", "node_id", "rank", "score"), name) for name, arm in found.items()}
 
 
 @query("r6_fusion", f"WITH {_FUSE} SELECT * FROM fused")
@@ -148,7 +149,7 @@ def recall(t: Tables) -> DataFrame:
 
 @query("r21_injection")
 def injection(t: Tables) -> DataFrame:
-    return R.render(R.recall(D.asked(t), D.store(t), R.RecallParams(now_ms=NOW_MS)), preamble="What is known so far:")
+    return R.render(R.recall(D.asked(t), D.store(t), R.RecallParams(now_ms=NOW_MS)), NOW_MS, preamble="What is known so far:")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnestra.operators.entities import normalise_name
-from mnestra.operators.retrieval import Store
+from mnestra.operators.retrieval import Store, TextIndex, text_index
 from mnestra.session import table
 
 NOW_MS = 1_782_864_000_000  # 2026-07-01T00:00:00Z, after the last row of the test tables
@@ -84,8 +84,12 @@ def asked(t: Tables) -> DataFrame:
     return nodes.join(vectors(t).select(F.col("node_id").alias("qid"), F.col("embedding").alias("vector")), "qid", "left")
 
 
+def index(t: Tables) -> TextIndex:
+    return text_index(t("memory_nodes"), keep="nodes")
+
+
 def store(t: Tables) -> Store:
-    return Store(t("memory_nodes"), vectors(t), t("links"), entities(t), node_entities(t).select("node_id", "entity_id"), node_tags(t), sources(t))
+    return Store(t("memory_nodes"), vectors(t), t("links"), entities(t), node_entities(t).select("node_id", "entity_id"), node_tags(t), sources(t), index(t))
 
 
 # The same tables as common table expressions.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[object, str]] = []
+_STAYING: list[tuple[object, str]] = []
+_KEPT: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -63,6 +66,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(build, name: str, source: DataFrame) -> DataFrame:
+    """A table derived from files, such as an index: written once a session for the same files, and read from then on.
+
+    It is named by the files' names, sizes and times, so that a changed table gets another; it stays until the session ends.
+    """
+    spark = source.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = sorted(source.inputFiles())
+    stamp = hashlib.sha256()
+    if files:
+        system = path(files[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for file in files:
+            status = system.getFileStatus(path(file))
+            stamp.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    known = (name, stamp.hexdigest())
+    if not files or known not in _KEPT or _KEPT[known][0] is not spark:
+        _KEPT[known] = (spark, materialise(build(), name))
+        _WRITTEN.pop()
+        _STAYING.append((spark, _KEPT[known][1].inputFiles()[0].rpartition("/")[0] if _KEPT[known][1].inputFiles() else ""))
+    return _KEPT[known][1]
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete the tables that ``materialise`` has written."""
     while _WRITTEN:
@@ -77,6 +102,7 @@ def release(spark: SparkSession | None = None) -> None:
 
 @atexit.register
 def _release_at_exit() -> None:
+    _WRITTEN.extend(x for x in _STAYING if x[1])
     if _WRITTEN:
         release()
 
@@ -84,12 +110,22 @@ def _release_at_exit() -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Give a Python-heavy step at least as many partitions as there are cores.
 
-    A table of few files would otherwise be worked on by few tasks.  A table that
-    already has enough partitions is returned unchanged, so large inputs are not
-    shuffled.
+    A table of few files would otherwise be worked on by few tasks.  A table whose files
+    make enough partitions is returned unchanged, so large inputs are not
+    shuffled.  Files are counted, nothing is run.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files:
+        return df.repartition(wanted)
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if len(files) >= wanted:
+        return df
+    largest = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    splits = sum(-(-system.getFileStatus(path(f)).getLen() // largest) for f in files)
+    return df if splits >= wanted else df.repartition(wanted)
 
 
 def ship(spark: SparkSession) -> None:

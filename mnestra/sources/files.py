@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnestra.session import materialise
+
 FACT = (
     "struct<text:string,fact_type:string,context:string,event_date:string,occurred_start:string,occurred_end:string,mentioned_at:string,"
     "metadata:map<string,string>,tags:array<string>,chunk_index:bigint,entities:array<string>,"
@@ -97,13 +99,16 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def insert_nodes(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
-    """New nodes with ids that go on from the stored ones, in the given order within every bank.
+    """New nodes with ids that go on from the highest stored one, by bank and then in the given order.
 
-    Ids leave room for every bank (highest id, then a block a bank), so no single task orders all rows.
+    Rows are parted by ranges and numbered within their part; the sizes of the parts before are
+    added, so no single task orders all rows of a bank.
     """
+    parts = max(1, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = new.repartitionByRange(parts, "bank_id", *order).sortWithinPartitions("bank_id", *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(ranged.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit(2**33 - 1))}).drop("_at"), "ranged")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
     most = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    sizes = new.groupBy("bank_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("bank_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = sizes.select("bank_id", before.alias("_before"))
-    placed = new.withColumn("_nth", F.row_number().over(Window.partitionBy("bank_id").orderBy(*order)))
-    return placed.join(start, "bank_id").join(F.broadcast(most)).withColumn("id", F.col("_max") + F.col("_before") + F.col("_nth")).drop("_max", "_before", "_nth")
+    return placed.join(F.broadcast(starts), "_part").join(F.broadcast(most)).withColumn("id", F.col("_max") + F.col("_before") + F.col("_nth") + 1).drop("_max", "_before", "_nth", "_part")

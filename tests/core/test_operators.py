@@ -104,8 +104,8 @@ def test_recall_end_to_end(spark):
         assert all(a["final"] >= b["final"] for a, b in zip(mine, mine[1:]))
     tagged = R.recall(asked, s, R.RecallParams(now_ms=100 * DAY, tags=("x",), tag_mode="all_strict")).collect()
     assert {r["node_id"] for r in tagged} <= {1, 4}
-    text = R.render(R.recall(asked, s, R.RecallParams(now_ms=100 * DAY))).filter("qid = 1").first()["injected_text"]
-    assert text.startswith("<memories>\n- ") and text.endswith("</memories>")
+    text = R.render(R.recall(asked, s, R.RecallParams(now_ms=100 * DAY)), 100 * DAY).filter("qid = 1").first()["injected_text"]
+    assert text.startswith("<memories>\n\nCurrent time - 1970-04-11 00:00 UTC\n\n- ") and text.endswith("</memories>")
     empty = R.recall(asked.filter("false"), s)
     assert empty.collect() == []
 
@@ -158,14 +158,18 @@ def test_components(spark):
     got = dict(rows(connected_components(spark.createDataFrame(edges, "src long, dst long")), "node", "component"))
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long"), max_rounds=1)
 
 
 def test_histogram_quantiles(spark):
     df = spark.createDataFrame([("a", x) for x in (50, 90, 200, 240, 9_000_000)], "k string, us long")
     q = M.histogram_quantiles(M.histogram(df, ["k"], "us"), ["k"]).first()
-    assert q["n"] == 5 and q["most"] == 9_000_000 and q["p50"] == 175.0 and q["p99"] == 9_000_000.0
+    assert q["n"] == 5 and q["most"] == 9_000_000 and q["p50"] == 300.0 and q["p99"] == 9_000_000.0
     assert M.histogram_quantiles(M.histogram(df.filter("false"), ["k"], "us"), ["k"]).collect() == []
-    assert value(spark, M.bucket(F.col("x")), x=100) == 0 and value(spark, M.bucket(F.col("x")), x=101) == 1
+    assert value(spark, M.bucket(F.col("x")), x=100) == 0 and value(spark, M.bucket(F.col("x")), x=101) == 1 and value(spark, M.bucket(F.col("x")), x=500_001) == 19
+    edge = spark.createDataFrame([("a", x) for x in (34_999, 35_000, 35_001, 60_000, None)], "k string, us long")
+    assert rows(M.under_limits(edge, ["k"], "us"), "under_35000", "under_60000") == [(2, 4)]
 
 
 def test_macro_average(spark):
@@ -269,7 +273,7 @@ def test_source_facts_stop_at_each_observation_and_at_the_whole(spark):
 def test_plans_are_validated(spark):
     update = lambda i, ids=(1,), text="t", reason="r": {"observation_id": i, "text": text, "source_fact_ids": list(ids), "reason": reason}
     replies = [
-        ("ok", json.dumps({"creates": [{"text": "n", "source_fact_ids": [1, 77], "reason": "r"}, {"text": "", "source_fact_ids": [1], "reason": "r"}, {"text": "n", "source_fact_ids": [77], "reason": "r"}], "updates": [update(5), update(6, reason="")], "deletes": [{"observation_id": 5, "reason": "r"}, {"observation_id": 7, "reason": "r"}]})),
+        ("ok", json.dumps({"creates": [{"text": "n", "source_fact_ids": [1, 77], "reason": "r"}, {"text": " n ", "source_fact_ids": [1, 1], "reason": "r"}, {"text": "n", "source_fact_ids": [], "reason": "r"}, {"text": "", "source_fact_ids": [1], "reason": "r"}, {"text": "n", "source_fact_ids": [77], "reason": "r"}], "updates": [update(5), update(6, reason="")], "deletes": [{"observation_id": 5, "reason": "r"}, {"observation_id": 7, "reason": "r"}]})),
         ("twice", json.dumps({"updates": [update(5), update(5)]})),
         ("many", json.dumps({"deletes": [{"observation_id": i, "reason": "r"} for i in (5, 6, 7)]})),
         ("bad", "nonsense"),
@@ -279,7 +283,7 @@ def test_plans_are_validated(spark):
     pooled = spark.createDataFrame([(n, i) for n in names for i in (5, 6, 7)], "batch_id string, observation_id long")
     facts = spark.createDataFrame([(n, 1) for n in names], "batch_id string, fact_id long")
     got = C.validate_plans(spark.createDataFrame(replies, "batch_id string, reply string"), pooled, facts)
-    assert sorted((r["batch_id"], r["action"], r["observation_id"] or 0, r["source_fact_ids"]) for r in got.collect()) == [("ok", "create", 0, [1]), ("ok", "delete", 7, []), ("ok", "update", 5, [1])]
+    assert sorted((r["batch_id"], r["action"], r["observation_id"] or 0, r["source_fact_ids"], r["text"] or "") for r in got.collect()) == [("ok", "create", 0, [1], "n"), ("ok", "delete", 7, [], ""), ("ok", "update", 5, [1], "t")]
 
 
 def test_curation_pieces(spark):
