@@ -96,8 +96,7 @@ def fusion(t: Tables) -> DataFrame:
     return R.fuse(_arms(t)).select("qid", "node_id", "rrf", "semantic", "keyword", "rrf_rank")
 
 
-_SCORE = f"""{_FUSE},
-c AS (SELECT f.*, n.text, n.occurred_start AS os, n.occurred_end AS oe, n.mentioned_at AS ma, n.proof_count AS pc, a.first_ms, a.last_ms,
+_SCORED = f"""c AS (SELECT f.*, n.text, n.occurred_start AS os, n.occurred_end AS oe, n.mentioned_at AS ma, n.proof_count AS pc, a.first_ms, a.last_ms,
              min(semantic) OVER w AS lo, max(semantic) OVER w AS hi, count(*) OVER w AS n_c
       FROM fused f JOIN memory_nodes n ON n.id = f.node_id JOIN asked a ON a.qid = f.qid WINDOW w AS (PARTITION BY f.qid)),
 p AS (SELECT *, 1 - 0.9::DOUBLE * (rrf_rank - 1) / greatest(n_c - 1, 1) AS base,
@@ -108,6 +107,7 @@ p AS (SELECT *, 1 - 0.9::DOUBLE * (rrf_rank - 1) / greatest(n_c - 1, 1) AS base,
 s AS (SELECT *, CASE WHEN pt IS NULL OR first_ms IS NULL THEN 0.5::DOUBLE WHEN half > 0 THEN greatest(0.0::DOUBLE, 1 - abs(pt - (first_ms + half)) / half) ELSE 1.0::DOUBLE END AS tmp FROM p),
 scored AS (SELECT *, round(base * (1 + 0.2::DOUBLE * (rec - 0.5::DOUBLE)) * (1 + 0.2::DOUBLE * (tmp - 0.5::DOUBLE)) * (1 + 0.1::DOUBLE * (prf - 0.5::DOUBLE)) * (1 + 0.1::DOUBLE * (sem - 0.5::DOUBLE)), 9) AS final FROM s),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rrf_rank) AS final_rank FROM scored)"""
+_SCORE = f"{_FUSE}, {_SCORED}"
 
 
 def _ranked(t: Tables) -> DataFrame:
@@ -122,12 +122,12 @@ def scores(t: Tables) -> DataFrame:
     return _ranked(t).select("qid", "node_id", "final", "final_rank")
 
 
-_DEDUP = rf"""{_SCORE}, {D.SOURCES},
-met AS (SELECT o.qid, o.node_id AS obs, o.final_rank AS own, r.node_id AS src, r.final_rank AS theirs FROM ranked o JOIN sources x ON x.observation_id = o.node_id JOIN ranked r ON r.qid = o.qid AND r.node_id = x.source_id),
+_DEDUPED = r"""met AS (SELECT o.qid, o.node_id AS obs, o.final_rank AS own, r.node_id AS src, r.final_rank AS theirs FROM ranked o JOIN sources x ON x.observation_id = o.node_id JOIN ranked r ON r.qid = o.qid AND r.node_id = x.source_id),
 best AS (SELECT qid, obs, own, min(theirs) AS b FROM met GROUP BY ALL),
 gone AS (SELECT qid, obs AS node_id FROM best WHERE own > b UNION SELECT m.qid, m.src FROM met m JOIN best b ON b.qid = m.qid AND b.obs = m.obs WHERE b.own < b.b),
 kept AS (SELECT * FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.qid = r.qid AND g.node_id = r.node_id)),
-uniq AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens FROM kept QUALIFY row_number() OVER (PARTITION BY qid, trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY final_rank) = 1),
+uniq AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens FROM kept QUALIFY row_number() OVER (PARTITION BY qid, trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY final_rank) = 1)"""
+_DEDUP = f"""{_SCORE}, {D.SOURCES}, {_DEDUPED},
 cum AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY final_rank ROWS UNBOUNDED PRECEDING) AS total FROM uniq)"""
 
 
@@ -142,16 +142,107 @@ def budget(t: Tables) -> DataFrame:
     return R.within_tokens(rows, 1024).select("qid", "node_id", "final_rank", "total_tokens")
 
 
-@query("r25_recall")
+def _recall_sql(types: tuple[str, ...] = ("world", "experience", "observation"), tag: bool = False, cap: int = 0, model: str | None = None, limit: int = 20, budget: int = 600, tokens: int = 1024, alpha: float = 0.1) -> str:
+    """The whole recall: arms filtered after their limits, fusion, graph from the best 20, fusion again, scores, two deduplications, budgets."""
+    listed = ", ".join(f"'{x}'" for x in types)
+    fetch = min(max(5 * limit, 100), 1000)
+    tagged = f"AND id IN (SELECT node_id FROM tagged JOIN (SELECT tag FROM tagged GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1) USING (tag))" if tag else ""
+    capped = f"WHERE rank <= {cap}" if cap else ""
+    producer = f"AND k.node_id IN (SELECT node_id FROM vecs WHERE embedding_model = '{model}')" if model else ""
+    arm = lambda name, n: f"SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, score, {n} AS arm FROM {name} k WHERE node_id IN (SELECT id FROM fit) {producer if name == 'knn' else ''}"
+    bm = _BM25.replace("JOIN dfs ON dfs.term = m.term, st", f"JOIN dfs ON dfs.term = m.term JOIN memory_nodes ty ON ty.id = m.node_id AND ty.fact_type IN ({listed}), st")
+    fuse = lambda name, arms: f"{name} AS (SELECT qid, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(arm * 10000 + rank) AS first, max(score) FILTER (arm = 0) AS semantic, string_agg(DISTINCT ['semantic', 'bm25', 'graph', 'temporal'][arm + 1], ',' ORDER BY ['semantic', 'bm25', 'graph', 'temporal'][arm + 1]) AS arms FROM {arms} {capped} GROUP BY ALL)"
+    return rf"""{bm.replace("rank <= 100", f"rank <= {fetch}")}, {_KNN.replace("rank <= 100", f"rank <= {fetch}")}, {_TEMP.replace("rank <= 100", f"rank <= {fetch}")}, {D.MEMBERS}, {D.TAGS}, {D.SOURCES},
+fit AS (SELECT id FROM memory_nodes WHERE fact_type IN ({listed}) {tagged}),
+arms3 AS ({arm("knn", 0)} UNION ALL {arm("bm25", 1)} UNION ALL {arm("temp", 3)}),
+{fuse("f3", "arms3")},
+seed AS (SELECT f.qid, a.bank_id, f.node_id AS seed FROM f3 f JOIN asked a ON a.qid = f.qid QUALIFY row_number() OVER (PARTITION BY f.qid ORDER BY rrf DESC, first, node_id) <= 20),
+steps AS (SELECT from_node_id AS seed, to_node_id AS node_id, link_type, weight FROM links UNION ALL SELECT to_node_id, from_node_id, link_type, weight FROM links),
+st8 AS (SELECT s.qid, b.node_id, b.link_type, b.weight FROM seed s JOIN steps b ON b.seed = s.seed JOIN memory_nodes n ON n.id = b.node_id AND n.bank_id = s.bank_id WHERE NOT EXISTS (SELECT 1 FROM seed z WHERE z.qid = s.qid AND z.seed = b.node_id)
+       QUALIFY row_number() OVER (PARTITION BY s.qid ORDER BY b.weight DESC, b.node_id, b.link_type, s.seed) <= 800),
+linked AS (SELECT qid, node_id, max(weight) FILTER (link_type IN ('caused_by','causes','enables','prevents')) AS causal, max(weight) FILTER (link_type NOT IN ('caused_by','causes','enables','prevents')) AS other FROM st8 GROUP BY ALL),
+sh AS (SELECT s.qid, m2.node_id, count(DISTINCT m1.entity_id) AS shared FROM seed s JOIN members m1 ON m1.node_id = s.seed JOIN ent e ON e.id = m1.entity_id AND e.mention_count <= 200
+       JOIN members m2 ON m2.entity_id = m1.entity_id JOIN memory_nodes n ON n.id = m2.node_id AND n.bank_id = s.bank_id WHERE NOT EXISTS (SELECT 1 FROM seed z WHERE z.qid = s.qid AND z.seed = m2.node_id) GROUP BY s.qid, m2.node_id),
+sk AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY qid ORDER BY shared DESC, node_id) <= 800),
+gr AS (SELECT coalesce(l.qid, s.qid) AS qid, coalesce(l.node_id, s.node_id) AS node_id, round((exp(coalesce(shared, 0)::DOUBLE) - 1) / (exp(coalesce(shared, 0)::DOUBLE) + 1) + coalesce(causal, 0) + coalesce(other, 0), 6) AS score
+       FROM linked l FULL JOIN sk s ON s.qid = l.qid AND s.node_id = l.node_id),
+graph AS (SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS rank, score FROM gr QUALIFY rank <= 200),
+arms4 AS (SELECT * FROM arms3 UNION ALL {arm("graph", 2)}),
+{fuse("f4", "arms4")},
+fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first, node_id) AS rrf_rank FROM f4),
+{_SCORED.replace("0.1::DOUBLE * (sem", f"{alpha}::DOUBLE * (sem")},
+{_DEDUPED},
+lim AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY final_rank ROWS UNBOUNDED PRECEDING) AS total FROM uniq QUALIFY row_number() OVER (PARTITION BY qid ORDER BY final_rank) <= {budget}),
+answered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_rank) AS place FROM lim WHERE total <= {tokens} QUALIFY place <= {limit})"""
+
+
+_ANSWER = "SELECT qid, place, node_id, final, rrf, arms, total::BIGINT AS total_tokens, text FROM answered"
+
+
+def _answer(df: DataFrame) -> DataFrame:
+    return df.select("qid", "place", "node_id", "final", "rrf", F.array_join("arms", ",").alias("arms"), "total_tokens", "text")
+
+
+@query("r25_recall", f"WITH {_recall_sql()} {_ANSWER}")
 def recall(t: Tables) -> DataFrame:
-    return R.recall(D.asked(t), D.store(t), R.RecallParams(now_ms=NOW_MS)).select("qid", "place", "node_id", "final", "rrf", F.array_join("arms", ",").alias("arms"), "total_tokens", "text")
+    return _answer(R.recall(D.asked(t), D.store(t), R.RecallParams(now_ms=NOW_MS)))
+
+
+@query("r25_filtered", f"WITH {_recall_sql(('world', 'experience'), True, 30, 'mini-embed-v2', 8, 200, 300)} {_ANSWER}")
+def recall_filtered(t: Tables) -> DataFrame:
+    """Two types, one tag (strictly), the active producer of vectors only, at most 30 of each arm, low budgets."""
+    tag = D.node_tags(t).groupBy("tag").count().orderBy(F.desc("count"), "tag").first()["tag"]  # the feature is a request for one tag
+    params = R.RecallParams(("world", "experience"), (tag,), "all_strict", 8, 300, cap_per_source=30, budget="low", embedding_model="mini-embed-v2", now_ms=NOW_MS)
+    return _answer(R.recall(D.asked(t), D.store(t), params))
 
 
-@query("r21_injection")
+@query(
+    "r21_injection",
+    rf"""WITH {_recall_sql()}
+SELECT a.qid, '<memories>' || chr(10) || 'What is known so far:' || chr(10) || 'Current time - 2026-07-01 00:00 UTC' || chr(10) || chr(10)
+ || string_agg('- ' || replace(replace(a.text, '</memories', '<' || chr(8203) || '/memories'), '<memories', '<' || chr(8203) || 'memories') || ' [' || n.fact_type || ']' || CASE WHEN n.mentioned_at IS NULL THEN '' ELSE ' (' || strftime(make_timestamp(n.mentioned_at * 1000), '%Y-%m-%d %H:%M UTC') || ')' END, chr(10) || chr(10) ORDER BY place)
+ || chr(10) || '</memories>' AS injected_text FROM answered a JOIN memory_nodes n ON n.id = a.node_id GROUP BY a.qid""",
+)
 def injection(t: Tables) -> DataFrame:
     return R.render(R.recall(D.asked(t), D.store(t), R.RecallParams(now_ms=NOW_MS)), NOW_MS, preamble="What is known so far:")
 
 
+_WHEN = "coalesce(n.occurred_start, n.mentioned_at)"
+
+
+@query(
+    "r22_reranked",
+    f"""WITH {_FUSE},
+d AS (SELECT f.qid, f.node_id, f.rrf_rank, length(concat_ws(' ', '[Date: ' || strftime(make_timestamp({_WHEN} * 1000), '%B %d, %Y') || ' (' || strftime(make_timestamp({_WHEN} * 1000), '%Y-%m-%d') || ')]', CASE WHEN n.context <> '' THEN n.context || ':' END, n.text)) % 9 - 4 AS logit FROM fused f JOIN memory_nodes n ON n.id = f.node_id)
+SELECT qid, node_id, rrf_rank, round(1 / (1 + exp(-logit::DOUBLE)), 6) AS base FROM d WHERE rrf_rank <= 10""",
+)
+def reranked(t: Tables) -> DataFrame:
+    """A scorer that looks at the length of the decorated document alone stands in for the cross-encoder."""
+    nodes = t("memory_nodes").select(F.col("id").alias("node_id"), "text", "context", "occurred_start", "mentioned_at")
+    rows = R.fuse(_arms(t)).join(nodes, "node_id").join(D.asked(t).select("qid", F.col("text").alias("query_text")), "qid").withColumn("base", F.lit(None).cast("double"))
+    scored = R.rerank(rows, lambda q, document: (F.length(document) % 9 - 4).cast("double"))
+    return scored.select("qid", "node_id", "rrf_rank", F.round("base", 6).alias("base"))
+
+
+@query(
+    "r24_windows",
+    f"""WITH q AS (SELECT id AS qid, id % 4 AS k FROM memory_nodes)
+SELECT qid, CASE k WHEN 0 THEN epoch_ms(TIMESTAMP '2026-06-30') WHEN 1 THEN epoch_ms(TIMESTAMP '2026-06-22') WHEN 2 THEN NULL ELSE epoch_ms(TIMESTAMP '2025-01-01') END AS first_ms,
+CASE k WHEN 0 THEN epoch_ms(TIMESTAMP '2026-07-01') - 1 WHEN 1 THEN epoch_ms(TIMESTAMP '2026-06-29') - 1 WHEN 2 THEN NULL ELSE epoch_ms(TIMESTAMP '2026-01-01') - 1 END AS last_ms FROM q""",
+)
+def windows_of_queries(t: Tables) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("what failed yesterday?", "Last week in the lab", "every Monday", "작년에 바뀐 것"))), (F.col("id") % 4 + 1).cast("int"))
+    return R.with_windows(t("memory_nodes").select(F.col("id").alias("qid"), said.alias("text")), NOW_MS).select("qid", "first_ms", "last_ms")
+
+
+@query(
+    "r26_rejected",
+    "SELECT doc_id AS qid, CASE WHEN strlen(text) > 8192 THEN 'query too long' ELSE 'unknown bank' END AS problem FROM documents WHERE strlen(text) > 8192 OR bank_id IS NULL OR bank_id NOT IN (SELECT bank_id FROM banks WHERE mission IS NOT NULL)",
+)
+def rejected(t: Tables) -> DataFrame:
+    return R.rejected(t("documents").select(F.col("doc_id").alias("qid"), "bank_id", "text"), t("banks").filter("mission is not null"))
+
+
 @query(
     "f3_tag_modes",
     f"""WITH {D.TAGS}, w AS (SELECT node_id, list(DISTINCT tag) AS tags FROM tagged GROUP BY node_id),
