@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnestra.functions import text as T
 from mnestra.functions.timex import DAY_MS
 from mnestra.operators.retrieval import knn, top
+from mnestra.session import materialise
 
 PLAN = (
     "struct<creates:array<struct<text:string,source_fact_ids:array<bigint>,reason:string>>,"
@@ -33,14 +34,6 @@ def batches(facts: DataFrame, round_size: int = 50, batch_size: int = 8) -> Data
     return chosen.withColumn("batch", F.floor((F.col("place") - 1) / batch_size))
 
 
-def halve(batch: list) -> list[list]:
-    """A batch that a model could not take, in two halves in order; a single item is given up."""
-    if len(batch) < 2:
-        return []
-    middle = len(batch) // 2
-    return [batch[:middle], batch[middle:]]
-
-
 def pool(candidates: DataFrame, max_tokens: int = 512) -> DataFrame:
     """(batch_id, observation_id, place): the union of the batch's recalled observations, first seen first.
 
@@ -80,6 +73,38 @@ def prefix_within(items: DataFrame, by: str, place: str, tokens: str, fixed: int
     return items.withColumn("total", F.sum(tokens).over(run) + fixed).filter((F.col("total") <= most) | (F.col(place) <= least_items))
 
 
+def assemble_prompts(facts: DataFrame, pooled: DataFrame, fixed: int = 0, most: int = 6144) -> DataFrame:
+    """(batch_id, fits, total, kept): what of a batch's pool goes into its prompt.
+
+    ``facts(batch_id, tokens)`` all go in; ``pooled(batch_id, place, tokens)`` from
+    the first on while the whole is within ``most``.  A batch whose facts alone are above does not fit.
+    """
+    base = facts.groupBy("batch_id").agg((F.sum("tokens") + fixed).alias("base"))
+    run = Window.partitionBy("batch_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    taken = pooled.join(base, "batch_id").withColumn("total", F.col("base") + F.sum("tokens").over(run)).filter(F.col("total") <= most)
+    sums = taken.groupBy("batch_id").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("kept"))
+    return base.join(sums, "batch_id", "left").select("batch_id", (F.col("base") <= most).alias("fits"), F.coalesce("total", "base").alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+def halve_batches(facts: DataFrame, over: DataFrame) -> DataFrame:
+    """``facts(batch_id, place, ...)`` with the batches of ``over(batch_id)`` cut in two, in order; a batch of one fact is given up."""
+    order = Window.partitionBy("batch_id")
+    placed = facts.join(over.select("batch_id").distinct().withColumn("_over", F.lit(True)), "batch_id", "left").withColumns({"_n": F.count(F.lit(1)).over(order), "_at": F.row_number().over(order.orderBy("place"))})
+    half = F.when(F.col("_at") <= F.floor(F.col("_n") / 2), ".0").otherwise(".1")
+    name = F.when(F.col("_over"), F.concat(F.col("batch_id").cast("string"), half)).otherwise(F.col("batch_id").cast("string"))
+    return placed.filter(F.col("_over").isNull() | (F.col("_n") > 1)).withColumn("batch_id", name).drop("_over", "_n", "_at")
+
+
+def fitting_batches(facts: DataFrame, fixed: int, most: int, rounds: int = 10) -> DataFrame:
+    """Batches cut in halves until the tokens of each are within ``most``; a lone fact above goes."""
+    for _ in range(rounds):
+        over = facts.groupBy("batch_id").agg(F.sum("tokens").alias("n")).filter(F.col("n") + fixed > most).select("batch_id")
+        if not over.limit(1).count():
+            return facts
+        facts = materialise(halve_batches(facts, over), "halves")
+    return facts
+
+
 def validate_plans(replies: DataFrame, pooled: DataFrame, facts: DataFrame, max_deletes: int = 2) -> DataFrame:
     """Actions (batch_id, action, observation_id, text, source_fact_ids) of model replies that hold.
 
@@ -117,6 +142,30 @@ def apply_updates(observations: DataFrame, updates: DataFrame, deletes: DataFram
     return rows.withColumns({"embedding": F.when(~changed, F.col("embedding")), "text": F.coalesce("new_text", "text")}).drop("new_text")
 
 
+def apply_plans(observations: DataFrame, sources: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations and provenance after the actions of plans.
+
+    ``observations(id, bank_id, text, embedding)``, ``sources(observation_id, source_id)``,
+    ``actions(batch_id, action, observation_id, text, source_fact_ids)``, batches being named by their bank.
+    Creates get the next ids, by bank and text; updates add their sources; deletes take theirs along.
+    Gives the observations with ``proof_count`` and the provenance.
+    """
+    actions = materialise(actions.select("batch_id", "action", "observation_id", "text", "source_fact_ids"), "actions")
+    most = observations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
+    made = actions.filter("action = 'create'").select(F.col("batch_id").alias("bank_id"), "text", F.col("source_fact_ids").alias("facts")).withColumn("_key", F.xxhash64("bank_id", "text", "facts"))
+    order = Window.partitionBy("bank_id").orderBy("text", "_key")  # a plan creates a handful
+    sizes = made.groupBy("bank_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("bank_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("bank_id", before.alias("_before"))  # one row a bank
+    made = made.withColumn("_nth", F.row_number().over(order)).join(starts, "bank_id").join(F.broadcast(most)).withColumn("id", F.col("most") + F.col("_before") + F.col("_nth"))
+    changes, gone = actions.filter("action = 'update'"), actions.filter("action = 'delete'")
+    kept = apply_updates(observations, changes, gone)
+    rows = kept.select("id", "bank_id", "text", "embedding").unionByName(made.select("id", "bank_id", "text", F.lit(None).cast(dict(observations.dtypes)["embedding"]).alias("embedding")))
+    added = changes.join(observations.select(F.col("id").alias("observation_id")), "observation_id", "left_semi").select("observation_id", F.explode("source_fact_ids").alias("source_id"))
+    backed = sources.join(gone.select("observation_id"), "observation_id", "left_anti").select("observation_id", "source_id").unionByName(added).unionByName(made.select(F.col("id").alias("observation_id"), F.explode("facts").alias("source_id"))).distinct()
+    return rows.join(proof_counts(rows, backed), "id"), backed
+
+
 def proof_counts(observations: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, proof_count): how many distinct facts every observation rests on."""
     counts = sources.select("observation_id", "source_id").distinct().groupBy(F.col("observation_id").alias("id")).agg(F.count(F.lit(1)).alias("proof_count"))
@@ -155,7 +204,14 @@ def merge_twins(sources: DataFrame, merges: DataFrame) -> DataFrame:
     return moved.select(F.coalesce("kept_id", "observation_id").alias("observation_id"), "source_id").distinct()
 
 
+def finish_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
+    """The ledger of runs: every started run with its figures, status ``running`` for one that has not finished."""
+    figures = [c for c in finished.columns if c != "run_id"]
+    return started.join(finished, "run_id", "left").withColumn("status", F.when(F.col(figures[0]).isNull(), "running").when(F.col("error").isNotNull(), "failed").otherwise("done"))
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
+    """The run of every bank with the highest id."""
     return top(runs, ["bank_id"], [F.desc("run_id")], 1, "_n").drop("_n")
 
 
@@ -204,6 +260,77 @@ def refresh_inputs(models: DataFrame, facts: DataFrame) -> DataFrame:
     return mark.join(counted, "model_id", "left").select("model_id", "bank_id", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("new_watermark", F.nullif(F.col("mark"), F.lit(-1))).alias("new_watermark"))
 
 
+def supporting_facts(recalled: DataFrame, nodes: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The recalled facts that were written after a model's watermark, in the order of the recall, and the new watermarks.
+
+    ``recalled(model_id, place, node_id)``; a model that was never refreshed takes all.
+    """
+    marks = models.select("model_id", F.coalesce("refresh_watermark", F.lit(-1)).alias("mark"))
+    facts = created_after(recalled.join(marks, "model_id"), nodes)
+    return facts, facts.groupBy("model_id").agg(F.max("created_at").alias("new_watermark"))
+
+
+def created_after(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``ids(node_id, mark, ...)`` whose node was written after the mark, with ``created_at``."""
+    return ids.join(nodes.select(F.col("id").alias("node_id"), "created_at"), "node_id").filter("created_at > mark")
+
+
+def assemble_refresh(facts: DataFrame, models: DataFrame, fixed: int = 0, most: int = 4096) -> DataFrame:
+    """(model_id, with_content, kept, total): what goes into the prompt of a refresh.
+
+    ``facts(model_id, place, tokens)``, ``models(model_id, tokens)``, tokens being those of the
+    current content.  If all does not fit, the content goes first, then facts from the last on; a model of which
+    no fact fits gets no prompt.
+    """
+    run = Window.partitionBy("model_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = facts.withColumn("upto", F.sum("tokens").over(run) + fixed).join(models.select("model_id", F.col("tokens").alias("content")), "model_id")
+    whole = F.max("upto") + F.first("content")
+    found = sums.groupBy("model_id").agg(
+        (whole <= most).alias("with_content"),
+        F.when(whole <= most, F.count(F.lit(1))).otherwise(F.count_if(F.col("upto") <= most)).alias("kept"),
+        F.when(whole <= most, whole).otherwise(F.max(F.when(F.col("upto") <= most, F.col("upto")))).alias("total"),
+    )
+    return found.filter("kept > 0")
+
+
+def assemble_reflection(memories: DataFrame, models: DataFrame, fixed: int = 0, most: int = 4096) -> DataFrame:
+    """(qid, memories, models, total): memories go from the last on, then models; nothing if not even one item fits.
+
+    ``memories(qid, place, tokens)``, ``models(qid, place, tokens)``.
+    """
+    both = models.select("qid", F.lit(0).alias("turn"), "place", "tokens").unionByName(memories.select("qid", F.lit(1).alias("turn"), "place", "tokens"))
+    run = Window.partitionBy("qid").orderBy("turn", "place").rowsBetween(Window.unboundedPreceding, 0)
+    fits = both.withColumn("upto", F.sum("tokens").over(run) + fixed).filter(F.col("upto") <= most)
+    return fits.groupBy("qid").agg(F.sum("turn").alias("memories"), F.count_if(F.col("turn") == 0).alias("models"), F.max("upto").alias("total"))
+
+
+def nearest_models(queries: DataFrame, vectors: DataFrame, k: int = 3, embedding_model: str | None = None) -> DataFrame:
+    """(qid, model_no, score, rank): the nearest models of the query's bank; foreign producers go after the ``k`` nearest.
+
+    ``vectors(model_no, bank_id, embedding, embedding_model)``.
+    """
+    near = knn(queries, vectors.withColumnRenamed("model_no", "node_id"), k).withColumnRenamed("node_id", "model_no")
+    return near if embedding_model is None else near.join(vectors.filter(F.col("embedding_model") == embedding_model).select("model_no"), "model_no", "left_semi")
+
+
+def apply_model_changes(models: DataFrame, changes: DataFrame) -> DataFrame:
+    """Models ``(model_id, bank_id, name, content, embedding)`` after ``changes(model_id, action, ...)``, at most one a model.
+
+    ``create`` adds a model that is not there, ``delete`` drops one, ``update`` sets what is not null;
+    a changed name or content without a new vector clears the vector.
+    """
+    fields = ["bank_id", "name", "content", "embedding"]
+    new = changes.select("model_id", "action", *[F.col(c).alias(f"_{c}") for c in fields])
+    both = models.join(new, "model_id", "full_outer").withColumn("_there", F.col("bank_id").isNotNull())
+    updated = (F.col("action") == "update") & F.col("_there")
+    altered = updated & (~F.coalesce("_name", "name").eqNullSafe(F.col("name")) | ~F.coalesce("_content", "content").eqNullSafe(F.col("content")))
+    made = (F.col("action") == "create") & ~F.col("_there")
+    pick = lambda c: F.when(made, F.col(f"_{c}")).when(updated, F.coalesce(f"_{c}", c)).otherwise(F.col(c))
+    vector = F.when(made | (altered & F.col("_embedding").isNotNull()), F.col("_embedding")).when(altered, F.lit(None)).otherwise(F.when(updated, F.coalesce("_embedding", "embedding")).otherwise(F.col("embedding")))
+    kept = both.filter((F.col("_there") & ~F.coalesce(F.col("action") == "delete", F.lit(False))) | made)
+    return kept.select("model_id", pick("bank_id").alias("bank_id"), pick("name").alias("name"), pick("content").alias("content"), vector.alias("embedding"))
+
+
 def refresh_outcome(facts: Column, reply: Column, failed: Column) -> Column:
     """struct(outcome, replaces): without facts only the time is stamped, an empty reply is an error, else the content is replaced."""
     outcome = F.when(facts == 0, "no_facts").when(failed, "error").when(F.trim(F.coalesce(reply, F.lit(""))) == "", "empty_candidate").otherwise("updated")

@@ -287,7 +287,8 @@ def test_plans_are_validated(spark):
 
 
 def test_curation_pieces(spark):
-    assert C.halve([1, 2, 3]) == [[1], [2, 3]] and C.halve([1]) == []
+    facts = spark.createDataFrame([("a", i, 10) for i in range(3)] + [("b", 1, 90), ("c", 1, 5)], "batch_id string, place int, tokens int")
+    assert rows(C.fitting_batches(facts, 5, 30), "batch_id", "place") == [("a.0", 0), ("a.1", 1), ("a.1", 2), ("c", 1)]
     obs = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0]), (3, "c", [1.0])], "id long, text string, embedding array<float>")
     new = C.apply_updates(obs, spark.createDataFrame([(1, "z"), (2, "b")], "observation_id long, text string"), spark.createDataFrame([(3,)], "observation_id long"))
     assert rows(new, "id", "text", "embedding") == [(1, "z", None), (2, "b", [1.0])]
