@@ -45,6 +45,26 @@ def delete_banks(tables: dict[str, DataFrame], gone: DataFrame, keep_rows: tuple
     return out
 
 
+def delete_cascade(gone: DataFrame, banks: DataFrame, nodes: DataFrame, documents: DataFrame, links: DataFrame, by_bank: dict[str, DataFrame], by_node: dict[str, DataFrame], ledgers: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table after banks are deleted.
+
+    Nodes, documents and the tables ``by_bank`` go with their bank; links go with either end and the tables
+    ``by_node(node_id)`` with their node; nodes of other banks lose a document that is gone; ledgers keep
+    their rows with a null bank.
+    """
+    first = delete_banks({"banks": banks, "memory_nodes": nodes, "documents": documents, **by_bank, **ledgers}, gone, tuple(ledgers))
+    dead = nodes.join(gone.select("bank_id").distinct(), "bank_id", "left_semi").select("id")
+    left = {c: dead.select(F.col("id").alias(c)) for c in ("from_node_id", "to_node_id", "node_id")}
+    out = dict(first)
+    out["links"] = links.join(left["from_node_id"], "from_node_id", "left_anti").join(left["to_node_id"], "to_node_id", "left_anti").select(*links.columns)
+    for name, df in by_node.items():
+        out[name] = df.join(left["node_id"], "node_id", "left_anti").select(*df.columns)
+    lost = documents.join(gone.select("bank_id").distinct(), "bank_id", "left_semi").select(F.col("doc_key").alias("_lost")).distinct()
+    kept = first["memory_nodes"].join(lost, F.col("document_id") == F.col("_lost"), "left")
+    out["memory_nodes"] = kept.withColumn("document_id", F.when(F.col("_lost").isNull(), F.col("document_id"))).select(*nodes.columns)
+    return out
+
+
 def after_id(rows: DataFrame, key: str, after: int, limit: int) -> DataFrame:
     """A page by key: the next rows above ``after``."""
     return rows.filter(F.col(key) > after).orderBy(key).limit(limit)

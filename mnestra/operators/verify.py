@@ -28,17 +28,6 @@ def archive_violations(facts: DataFrame) -> DataFrame:
     return out
 
 
-def count_checks(facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(archive_id, check, expected, actual): distinct counts of both sides, in one aggregate a side."""
-    unique = facts.dropDuplicates(["document_id", "fact_index"])
-    expected = unique.groupBy("archive_id").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("facts"), *[F.count_if(F.col("fact_type") == t).alias(t) for t in ("world", "experience")])
-    held = nodes.filter("archive_id is not null and document_id is not null").dropDuplicates(["archive_id", "document_id", "fact_index"])
-    actual = held.groupBy("archive_id").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("facts"), *[F.count_if(F.col("fact_type") == t).alias(t) for t in ("world", "experience")])
-    names = ("documents", "facts", "world", "experience")
-    long = lambda df, value: df.select("archive_id", F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("v")) for n in names])).alias("x")).select("archive_id", "x.check", F.col("x.v").alias(value))
-    return long(expected, "expected").join(long(actual, "actual"), ["archive_id", "check"], "full_outer").fillna(0, ["expected", "actual"])
-
-
 def in_band(ratio: Column, low: float = 1.45, high: float = 1.75) -> Column:
     return F.when(ratio.isNull(), "review").when(ratio.between(low, high), "pass").otherwise("fail")
 

@@ -256,31 +256,20 @@ def patch(t: Tables) -> DataFrame:
     return S.patch(t("banks"), new, "bank_id", ["mission", "disposition"]).select("bank_id", "mission", "disposition")
 
 
-@query(
-    "u1_delete_banks",
-    """WITH gone AS (SELECT bank_id FROM banks WHERE mission IS NULL)
-SELECT 'documents' AS name, count(*) AS rows, count(bank_id) AS with_bank FROM documents WHERE bank_id NOT IN (FROM gone) OR bank_id IS NULL
-UNION ALL SELECT 'memory_nodes', count(*), count(bank_id) FROM memory_nodes WHERE bank_id NOT IN (FROM gone) OR bank_id IS NULL
-UNION ALL SELECT 'mental_refreshes', count(*), count(CASE WHEN bank_id NOT IN (FROM gone) THEN 1 END) FROM mental_refreshes""",
-)
-def delete_banks(t: Tables) -> DataFrame:
-    tables = {n: t(n).select("bank_id") for n in ("documents", "memory_nodes", "mental_refreshes")}
-    left = S.delete_banks(tables, t("banks").filter("mission is null"), keep_rows=("mental_refreshes",))
-    out = None
-    for name, df in left.items():
-        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count("bank_id").alias("with_bank"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query("a22_duplicates", "SELECT lang, sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def duplicates(t: Tables) -> DataFrame:
     return S.duplicates(t("documents"), "lang")
 
 
-@query("u2_health", "SELECT count(DISTINCT bank_id) AS banks, count(*) AS nodes, 'DEGRADED' AS verdict FROM memory_nodes")
+@query(
+    "u2_health",
+    """WITH s AS (SELECT b.bank_id, b.mission IS NULL AS broken, b.updated_at % 2 = 0 AS reachable, count(n.id) AS nodes, count(n.id) FILTER (n.id NOT IN (SELECT node_id FROM node_vectors WHERE embedding IS NOT NULL)) AS behind FROM banks b LEFT JOIN memory_nodes n ON n.bank_id = b.bank_id GROUP BY ALL)
+SELECT bank_id, nodes, CASE WHEN broken THEN 'UNHEALTHY' WHEN behind > 30 OR NOT reachable THEN 'DEGRADED' ELSE 'HEALTHY' END AS verdict FROM s""",
+)
 def health(t: Tables) -> DataFrame:
-    return S.table_counts(t("memory_nodes")).withColumn("verdict", S.health(F.lit(True), F.lit(False), F.lit(False)))
+    """A state a bank: one without a mission stands for a store that cannot be read, a backlog for an error of embedding."""
+    stats = bank_stats(t).join(t("banks").select("bank_id", "mission", "updated_at"), "bank_id")
+    return stats.select("bank_id", "nodes", S.health(F.col("mission").isNotNull(), F.col("unembedded") > 30, F.col("updated_at") % 2 == 0).alias("verdict"))
 
 
 # --- entities -------------------------------------------------------------------------------------
@@ -443,30 +432,6 @@ def violations(t: Tables) -> DataFrame:
     return V.archive_violations(t("archive_facts"))
 
 
-_SIDE = "SELECT archive_id, count(DISTINCT document_id) AS documents, count(*) AS facts, count(*) FILTER (fact_type = 'world') AS world, count(*) FILTER (fact_type = 'experience') AS experience FROM {} GROUP BY 1"
-
-
-@query(
-    "a17_count_checks",
-    f"""WITH e AS (UNPIVOT ({_SIDE.format("(SELECT DISTINCT archive_id, document_id, fact_index, fact_type FROM archive_facts)")}) ON documents, facts, world, experience INTO NAME "check" VALUE expected),
-a AS (UNPIVOT ({_SIDE.format("(SELECT archive_id, document_id, fact_index, min(fact_type) AS fact_type FROM memory_nodes WHERE archive_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)")}) ON documents, facts, world, experience INTO NAME "check" VALUE actual)
-SELECT coalesce(e.archive_id, a.archive_id) AS archive_id, coalesce(e."check", a."check") AS "check", coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual FROM e FULL JOIN a ON a.archive_id = e.archive_id AND a."check" = e."check" """,
-)
-def count_checks(t: Tables) -> DataFrame:
-    return V.count_checks(t("archive_facts"), t("memory_nodes"))
-
-
-@query(
-    "v6_verdicts",
-    """WITH e AS (SELECT archive_id, count(*) AS n FROM (SELECT DISTINCT archive_id, document_id, fact_index FROM archive_facts) GROUP BY 1), a AS (SELECT archive_id, count(*) AS n FROM (SELECT DISTINCT archive_id, document_id, fact_index FROM memory_nodes WHERE document_id IS NOT NULL AND archive_id IS NOT NULL) GROUP BY 1)
-SELECT coalesce(e.archive_id, a.archive_id) AS archive_id, CASE WHEN coalesce(a.n, 0) < coalesce(e.n, 0) THEN 'fail' WHEN coalesce(a.n, 0) > coalesce(e.n, 0) THEN 'review' ELSE 'pass' END AS verdict FROM e FULL JOIN a ON a.archive_id = e.archive_id""",
-)
-def verdicts(t: Tables) -> DataFrame:
-    checks = V.count_checks(t("archive_facts"), t("memory_nodes")).filter(F.col("check") == "facts")
-    state = F.when(F.col("actual") < F.col("expected"), "fail").when(F.col("actual") > F.col("expected"), "review").otherwise("pass")
-    return V.verdict(checks.withColumn("state", state), ["archive_id"])
-
-
 @query(
     "v4_sample",
     """WITH s AS (SELECT bank_id, greatest(1, floor(500 * count(*) / (SELECT count(*) FROM memory_nodes)::DOUBLE + 0.5::DOUBLE)) AS quota FROM memory_nodes GROUP BY 1)

@@ -49,12 +49,41 @@ def read_log(spark: SparkSession, path: str, from_offset: int = 0) -> DataFrame:
     return whole.withColumn("offset", F.lit(from_offset) + end)
 
 
+def read_delta(logs: DataFrame, from_offset: int = 0, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is new in session logs: messages, and one row a log.
+
+    ``logs(path, content)`` with the bytes of a log.  Gives ``messages(path, line_no, role, content, size)`` and
+    ``states(path, consumed_to, compactions, truncated)``.  Only whole lines are consumed.  Of the messages the newest stay
+    whose sizes as JSON, with a comma each and a bracket, are within ``max_bytes``.  A log is one row, as are its lines.
+    """
+    tail = logs.select("path", F.expr(f"substring(content, {from_offset + 1}, length(content))").alias("b"))
+    text = tail.select("path", F.decode("b", "UTF-8").alias("t"))
+    whole = text.select("path", F.regexp_replace("t", r"[^\n]*$", "").alias("t"))
+    lines = whole.select("path", F.posexplode(F.split("t", "\n")).alias("line_no", "value")).filter("value <> ''")
+    judged = classify_lines(lines.select(F.struct("path", "line_no").alias("line_no"), "value"))
+    sizes = judged.select("line_no.path", "line_no.line_no", "kind", "role", "content", (F.octet_length(F.to_json(F.struct("role", "content"))) + 1).alias("size"))
+    messages = sizes.filter("kind = 'message'").drop("kind")
+    kept = messages if max_bytes is None else newest_within(messages, "path", "line_no", "size", max_bytes - 1)
+    counts = sizes.groupBy("path").agg(F.count_if(F.col("kind") == "compaction").alias("compactions"), F.coalesce(F.sum(F.when(F.col("kind") == "message", F.col("size"))), F.lit(0)).alias("all"))
+    states = whole.select("path", (F.lit(from_offset) + F.octet_length("t")).alias("consumed_to")).join(counts, "path", "left")
+    cut = F.lit(False) if max_bytes is None else F.coalesce(F.col("all") + 1 > max_bytes, F.lit(False))
+    return kept, states.select("path", "consumed_to", F.coalesce("compactions", F.lit(0)).alias("compactions"), cut.alias("truncated"))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Facts of a transfer archive (``documents/*.json``), one row a fact with its position; unreadable files fail."""
     docs = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(DOCUMENT.replace(", _bad string", "")).json(f"{path}/documents")
     return docs.select(F.col("id").alias("document_id"), F.posexplode("facts").alias("fact_index", "f")).select("document_id", "fact_index", "f.*")
 
 
+def read_archives(spark: SparkSession, path: str):
+    """All archives below a folder, with manifests and observations; see ``operators.archive.parse_archive``."""
+    from mnestra.operators.archive import parse_archive
+
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    return parse_archive(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
 def unknown_fields(raw: DataFrame, known: list[str]) -> DataFrame:
     """(line_no, fields): keys of JSON objects that are not known."""
     keys = F.map_keys(F.from_json("value", "map<string,string>"))
@@ -98,6 +127,38 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_rotated(rows: DataFrame, path: str, most_bytes: int = 10_000_000, keep: int = 3) -> int:
+    """Append to the JSON log ``path/current``; a log of more than ``most_bytes`` first moves to ``path/1``, 1 to 2 and so on.
+
+    At most ``keep`` old logs stay.  Gives the size in bytes of the current log before it was written to.
+    """
+    spark = rows.sparkSession
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    current = make(f"{path}/current")
+    size = system.getContentSummary(current).getLength() if system.exists(current) else 0
+    if size > most_bytes:
+        system.delete(make(f"{path}/{keep}"), True)
+        for n in range(keep - 1, 0, -1):
+            if system.exists(make(f"{path}/{n}")):
+                system.rename(make(f"{path}/{n}"), make(f"{path}/{n + 1}"))
+        system.rename(current, make(f"{path}/1"))
+        size = 0
+    append_json(rows, f"{path}/current")
+    return size
+
+
+def pool_dump(results: DataFrame) -> DataFrame:
+    """(qid, pool): what a query retrieved, as JSON in the order of its ranks, for labelling."""
+    item = F.struct("rank", *[c for c in results.columns if c not in ("qid", "rank")])
+    return results.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("pool"))
+
+
+def json_responses(rows: DataFrame, key: str) -> DataFrame:
+    """(key, body): a JSON body for every row."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("body"))
+
+
 def insert_nodes(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """New nodes with ids that go on from the highest stored one, by bank and then in the given order.
 
