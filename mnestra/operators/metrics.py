@@ -54,6 +54,15 @@ def saving(raw: Column, capped: Column) -> Column:
     return F.when((raw > 0) & (capped > 0), 1 - capped / raw)
 
 
+def tokens_saved(raw: Column, capped: Column) -> Column:
+    return F.greatest(raw - capped, F.lit(0))
+
+
+def saving_of_message(raw: Column, capped: Column) -> Column:
+    """The share that capping saves of one message; 0 of an empty one, or if the capped form is larger."""
+    return F.when(raw > 0, F.greatest(F.lit(0.0), 1 - capped / raw)).otherwise(0.0)
+
+
 def sample_percentile(samples: DataFrame, by: list[str], value: str, percentiles: dict[str, float]) -> DataFrame:
     """The value at rank round((n - 1) p) of the sorted values, from counts of distinct values."""
     counts = samples.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -94,12 +103,15 @@ def ranking_metrics(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def macro_average(per_query: DataFrame, strata: DataFrame) -> DataFrame:
-    """Means over queries, by stratum and over all (stratum ``all``)."""
+    """Means over queries, by stratum and over all (stratum ``all``); every query counts once.
+
+    ``excluded`` counts the queries of a stratum that have no figures, as none of their labels is relevant.
+    """
     names = [c for c in per_query.columns if c != "qid"]
-    rows = per_query.join(strata, "qid")
+    rows = strata.select("qid", "stratum").join(per_query.withColumn("_there", F.lit(True)), "qid", "left")
     means = [F.round(F.avg(c), 6).alias(c) for c in names]
-    grouped = rows.rollup("stratum").agg(F.count(F.lit(1)).alias("queries"), *means, F.grouping("stratum").alias("every"))
-    return grouped.select(F.when(F.col("every") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "queries", *names)
+    grouped = rows.rollup("stratum").agg(F.count("_there").alias("queries"), F.count_if(F.col("_there").isNull()).alias("excluded"), *means, F.grouping("stratum").alias("every"))
+    return grouped.select(F.when(F.col("every") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "queries", "excluded", *names)
 
 
 def newest(rows: DataFrame, by: list[str], key: str, limit: int = 20) -> DataFrame:

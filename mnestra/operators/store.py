@@ -70,7 +70,7 @@ def after_id(rows: DataFrame, key: str, after: int, limit: int) -> DataFrame:
     return rows.filter(F.col(key) > after).orderBy(key).limit(limit)
 
 
-def backlog(nodes: DataFrame, vectors: DataFrame, limit: int = 8) -> DataFrame:
+def backlog(nodes: DataFrame, vectors: DataFrame, limit: int | None = 8) -> DataFrame:
     """The next nodes of every bank to embed: those without a vector, by id."""
     have = vectors.filter("embedding is not null").select(F.col("node_id").alias("id")).distinct()
     return top(nodes.join(have, "id", "left_anti"), ["bank_id"], [F.col("id")], limit, "nth")

@@ -282,6 +282,32 @@ def resolution(t: Tables) -> DataFrame:
     return E.resolve(asked, t("entities"))
 
 
+@query("e5_exact", f"""WITH m AS (SELECT row_id || '#' || (i - 1) AS mention_id, bank_id, {D._TRIM.format("e")} AS name FROM (SELECT row_id, bank_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS i FROM archive_facts) WHERE e IS NOT NULL),
+k AS (SELECT bank_id, {D._TRIM.format("canonical_name")} AS name, id, last_seen FROM entities QUALIFY row_number() OVER (PARTITION BY bank_id, name ORDER BY last_seen DESC NULLS LAST, id) = 1)
+SELECT m.mention_id, k.id AS entity_id FROM m JOIN k ON k.bank_id = m.bank_id AND k.name = m.name WHERE m.name <> ''""")
+def exact_resolution(t: Tables) -> DataFrame:
+    return resolution(t).filter("how = 'exact'").select("mention_id", "entity_id")
+
+
+@query("e5_edited", f"""WITH k AS (SELECT bank_id, {D._TRIM.format("canonical_name")} AS name, id, last_seen FROM entities WHERE len(regexp_extract_all(canonical_name, '[0-9]')) = 0 QUALIFY row_number() OVER (PARTITION BY bank_id, name ORDER BY last_seen DESC NULLS LAST, id) = 1)
+SELECT k.id AS mention_id, 'new' AS how FROM k WHERE name <> ''""")
+def edited_resolution(t: Tables) -> DataFrame:
+    """Names with digits added are other things, however alike: none resolves."""
+    first = top(t("entities").filter(~F.col("canonical_name").rlike("[0-9]")).withColumn("name", E.normalise_name(F.col("canonical_name"))), ["bank_id", "name"], [F.desc_nulls_last("last_seen"), F.col("id")], 1, "_n").filter("name <> ''")
+    plain = t("entities").filter(~F.col("canonical_name").rlike("[0-9]"))
+    asked = first.select(F.col("id").alias("mention_id"), "bank_id", F.concat("name", F.lit("-77")).alias("name"), F.array(F.col("name")).alias("nearby"), F.col("last_seen").alias("at"))
+    return E.resolve(asked, plain).select("mention_id", "how")
+
+
+@query("e2_ratios", f"""WITH n AS (SELECT id, {D._TRIM.format("canonical_name")} AS name FROM entities) SELECT id, round(2.0::DOUBLE * length(name) / (2 * length(name) + 3), 6) AS longer, round(2.0::DOUBLE * (length(name) - 1) / (2 * length(name) - 1), 6) AS shorter, 2.0 * 3 >= 0.5 * (length(name) + 3) AS could FROM n WHERE length(name) BETWEEN 2 AND 190""")
+def name_ratios(t: Tables) -> DataFrame:
+    """A name against itself with three strange characters behind it, and without its last; both hold one block in common."""
+    name = E.normalise_name(F.col("canonical_name"))
+    rows = t("entities").select("id", name.alias("name")).filter("length(name) between 2 and 190")
+    cut = F.expr("substring(name, 1, length(name) - 1)")
+    return rows.select("id", F.round(E.name_ratio("name", F.concat("name", F.lit("§¶Ø"))), 6).alias("longer"), F.round(E.name_ratio("name", cut), 6).alias("shorter"), E.could_reach(F.col("name"), F.lit("abc")).alias("could"))
+
+
 @query("e1_names", f"SELECT id, {D._TRIM.format('canonical_name')} AS name, array_to_string(regexp_extract_all(canonical_name, '[0-9]+'), ',') AS digits FROM entities WHERE canonical_name IS NOT NULL")
 def names(t: Tables) -> DataFrame:
     rows = t("entities").filter("canonical_name is not null")
@@ -328,7 +354,17 @@ def pool(t: Tables) -> DataFrame:
     return C.pool(_candidates(t))
 
 
-@query("c4_source_facts")
+_KEPT = f"""WITH {_CAND}, z AS (SELECT id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM memory_nodes),
+r AS (SELECT p.batch_id, p.place, p.observation_id, s.source_id AS fact_id, z.n AS tokens FROM pooled p JOIN sources s ON s.observation_id = p.observation_id JOIN z ON z.id = s.source_id),
+li AS (SELECT batch_id, list({{'p': place::BIGINT, 'o': observation_id, 'f': fact_id, 't': tokens::BIGINT, 'own': 0::BIGINT, 'al': 0::BIGINT, 'stop': false, 'kept': []::BIGINT[]}} ORDER BY place, fact_id DESC) AS l FROM r GROUP BY 1),
+rd AS (SELECT batch_id, list_reduce(list_prepend({{'p': -1::BIGINT, 'o': 0::BIGINT, 'f': 0::BIGINT, 't': 0::BIGINT, 'own': 0::BIGINT, 'al': 0::BIGINT, 'stop': false, 'kept': []::BIGINT[]}}, l), lambda a, x:
+ CASE WHEN x.p = a.p AND a.stop THEN a
+      WHEN (CASE WHEN x.p = a.p THEN a.own ELSE 0 END) + x.t <= 60 AND a.al + x.t <= 300 THEN {{'p': x.p, 'o': 0::BIGINT, 'f': 0::BIGINT, 't': 0::BIGINT, 'own': (CASE WHEN x.p = a.p THEN a.own ELSE 0 END) + x.t, 'al': a.al + x.t, 'stop': false, 'kept': list_append(a.kept, x.o * 10000000 + x.f)}}
+      ELSE {{'p': x.p, 'o': 0::BIGINT, 'f': 0::BIGINT, 't': 0::BIGINT, 'own': CASE WHEN x.p = a.p THEN a.own ELSE 0 END, 'al': a.al, 'stop': true, 'kept': a.kept}} END).kept AS k FROM li)
+SELECT batch_id, u // 10000000 AS observation_id, u % 10000000 AS fact_id FROM (SELECT batch_id, unnest(k) AS u FROM rd)"""
+
+
+@query("c4_source_facts", _KEPT)
 def source_facts(t: Tables) -> DataFrame:
     sizes = t("memory_nodes").select(F.col("id").alias("fact_id"), T.count_words(F.col("text")).alias("tokens"))
     rows = C.pool(_candidates(t)).join(D.sources(t).withColumnRenamed("source_id", "fact_id"), "observation_id").join(sizes, "fact_id")
@@ -409,11 +445,15 @@ def outcomes(t: Tables) -> DataFrame:
     return rows.select("refresh_id", "o.outcome", "o.replaces")
 
 
-@query("m2_due")
+@query(
+    "m2_due",
+    f"""WITH {_MODELS}, f AS (SELECT model_id, coalesce(last_refreshed_at, 0) % 5 AS k, last_refreshed_at AS seen FROM models), p AS (SELECT *, epoch_ms(CASE k WHEN 0 THEN TIMESTAMP '2026-06-30 03:00:00' WHEN 1 THEN TIMESTAMP '2026-06-30 18:45:00' WHEN 2 THEN TIMESTAMP '2026-06-29 06:30:00' WHEN 3 THEN TIMESTAMP '2024-02-29 00:00:00' END) AS fired FROM f)
+SELECT model_id, coalesce(k < 4 AND (seen IS NULL OR fired > seen), false) AS due FROM p""",
+)
 def due(t: Tables) -> DataFrame:
     models = C.latest_models(t("mental_refreshes"))
-    schedule = F.element_at(F.array(*[F.lit(s) for s in ("0 3 * * *", "*/15 8-18 * * 1-5", "30 6 1,15 * 1", "0 0 29 2 *", "bad")]), F.pmod(F.xxhash64("model_id"), F.lit(5)).cast("int") + 1)
-    return models.select("model_id", schedule.alias("schedule"), "last_refreshed_at").withColumn("due", cron.is_due(F.col("schedule"), F.col("last_refreshed_at"), NOW_MS))
+    schedule = F.element_at(F.array(*[F.lit(s) for s in ("0 3 * * *", "*/15 8-18 * * 1-5", "30 6 1,15 * 1", "0 0 29 2 *", "bad")]), (F.coalesce("last_refreshed_at", F.lit(0)) % 5 + 1).cast("int"))
+    return models.select("model_id", cron.is_due(schedule, F.col("last_refreshed_at"), NOW_MS).alias("due"))
 
 
 # --- verification ---------------------------------------------------------------------------------

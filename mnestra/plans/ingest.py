@@ -23,15 +23,71 @@ _TURNS = r"""blocks AS (SELECT doc_id, unnest(b) AS block, generate_subscripts(b
 turns AS (SELECT doc_id, turn, regexp_extract(block, '^\[role: (\w+)\]', 1) AS role, regexp_extract(block, '(?s)^\[role: \w+\]\n(.*)\n\[\w+:end\]$', 1) AS content FROM blocks)"""
 
 
-@query("i3_turns", f"WITH {_TURNS} SELECT doc_id, turn, role, content FROM turns")
+@query("i2_turns", f"WITH {_TURNS} SELECT doc_id, turn, role, content FROM turns")
 def turns(t: Tables) -> DataFrame:
     return I.split_turns(t("documents"))
 
 
-@query("i3_message_blocks")
+def _entries(t: Tables) -> DataFrame:
+    """Lines of session logs made of facts: a text, a call of one of four tools with a long input, and its result.
+
+    The session is the document; a fact's line is the assistant's, except that every fifth is the user's.
+    """
+    f = t("archive_facts").groupBy("document_id", "fact_index").agg(F.min("text").alias("text"), F.min("row_id").alias("row_id"))
+    k = F.col("row_id")
+    name = F.element_at(F.array(*map(F.lit, ("Edit", "mcp__files__Write", "mcp__store__recall_all", "Read"))), (k % 4 + 1).cast("int"))
+    given = F.struct(F.concat(F.lit("/w/src/f"), (k % 3).cast("string"), F.lit(".py")).alias("file_path"), F.repeat("text", 3).alias("content"))
+    block = lambda kind, **more: F.to_json(F.struct(F.lit(kind).alias("type"), *[v.alias(c) for c, v in more.items()]))
+    blocks = F.concat_ws(",", block("text", text=F.col("text")), block("tool_use", name=name, input=given), block("tool_result", tool_use_id=F.lit("u"), content=F.repeat("text", 20)))
+    role = F.when(k % 5 == 0, "user").otherwise("assistant")
+    line = F.concat(F.lit('{"type":"'), role, F.lit('","message":{"role":"'), role, F.lit('","content":['), blocks, F.lit("]}}"))
+    return f.select(F.col("document_id").alias("session_id"), F.col("fact_index").alias("turn"), line.alias("value"))
+
+
+_ENTRIES = """en AS (SELECT document_id AS session_id, fact_index AS turn, min(text) AS text, min(row_id) AS k FROM archive_facts GROUP BY 1, 2),
+bl AS (SELECT session_id, turn, 0 AS nth, 'text' AS type, NULL AS name, NULL AS input, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content, k FROM en
+ UNION ALL SELECT session_id, turn, 1, 'tool_use', ['Edit', 'mcp__files__Write', 'mcp__store__recall_all', 'Read'][k % 4 + 1], CASE WHEN length(text) > 100 THEN substring(repeat(text, 3), 1, 300) || '... (+' || (3 * length(text) - 300) || ' chars)' ELSE repeat(text, 3) END, NULL, k FROM en WHERE k % 5 <> 0 AND k % 4 <> 2
+ UNION ALL SELECT session_id, turn, 2, 'tool_result', NULL, NULL, CASE WHEN length(r) > 2000 THEN substring(r, 1, 2000) || '... (truncated)' ELSE r END, k FROM (SELECT *, regexp_replace(repeat(text, 20), '^\\s+|\\s+$', '', 'g') AS r FROM en))"""
+
+
+@query("i3_message_blocks", f"WITH {_ENTRIES} SELECT session_id, turn, row_number() OVER (PARTITION BY session_id, turn ORDER BY nth) - 1 AS place, type, name, input, content FROM bl")
 def blocks(t: Tables) -> DataFrame:
-    said = I.split_turns(t("documents")).withColumnRenamed("doc_id", "session_id")
-    return I.message_blocks(said.select("session_id", "turn", F.to_json(F.struct("role", "content")).alias("value"))).select("session_id", "turn", "role", "blocks")
+    found = I.message_blocks(_entries(t))
+    kinds = "struct<content:array<struct<type:string,text:string,name:string,input:struct<file_path:string,content:string>,content:string>>>"
+    rows = found.select("session_id", "turn", F.posexplode(F.from_json("blocks", kinds)["content"]).alias("place", "b"))
+    return rows.select("session_id", "turn", "place", "b.type", "b.name", F.col("b.input.content").alias("input"), F.coalesce("b.content", "b.text").alias("content"))
+
+
+@query(
+    "i6_touched_files",
+    f"WITH {_ENTRIES}, c AS (SELECT session_id, 'src/f' || (k % 3) || '.py' AS file, min(turn) AS first FROM en WHERE k % 5 <> 0 AND k % 4 IN (0, 1) GROUP BY ALL) SELECT session_id, string_agg(file, ',' ORDER BY first) AS files FROM c GROUP BY 1",
+)
+def files_touched(t: Tables) -> DataFrame:
+    found = I.message_blocks(_entries(t))
+    calls = found.select("session_id", "turn", "role", F.explode("calls").alias("c")).select("session_id", "turn", "role", "c.*", F.lit("/w").alias("cwd"))
+    return I.touched_files(calls).select("session_id", F.array_join("files", ",").alias("files"))
+
+
+@query(
+    "i8_sessions",
+    f"""WITH {_ENTRIES}, c AS (SELECT session_id, 'src/f' || (k % 3) || '.py' AS file FROM en WHERE k % 5 <> 0 AND k % 4 IN (0, 1)) SELECT e.session_id, count(*) AS messages, coalesce((SELECT count(DISTINCT file) FROM c WHERE c.session_id = e.session_id), 0) AS files, bool_or(length(text) > 100) AS saved FROM en e GROUP BY 1""",
+)
+def planned_sessions(t: Tables) -> DataFrame:
+    plan = I.plan_sessions(_entries(t), "/w")
+    return plan.select("session_id", "messages", F.coalesce(F.size("files"), F.lit(0)).alias("files"), (F.col("saved_ratio") > 0).alias("saved"))
+
+
+@query(
+    "a14_message_savings",
+    rf"""WITH {_ENTRIES}, w AS (SELECT session_id, turn, {_WORDS.format("repeat(text, 20)")} AS raw, {_WORDS.format("CASE WHEN length(text) > 100 THEN substring(repeat(text, 20), 1, 2000) || '... (truncated)' ELSE repeat(text, 20) END")} AS capped FROM en)
+SELECT session_id, turn, greatest(raw - capped, 0) AS saved, round(CASE WHEN raw = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - capped / raw::DOUBLE) END, 6) AS ratio FROM w""",
+)
+def message_savings(t: Tables) -> DataFrame:
+    """What capping saves of the result of each call."""
+    kinds = "struct<content:array<struct<type:string,content:string>>>"
+    result = lambda c: F.filter(F.from_json(c, kinds)["content"], lambda b: b["type"] == "tool_result")[0]["content"]
+    rows = I.message_blocks(_entries(t)).select("session_id", "turn", T.count_words(result("raw_blocks")).alias("raw"), T.count_words(result("blocks")).alias("capped"))
+    return rows.select("session_id", "turn", M.tokens_saved(F.col("raw"), F.col("capped")).alias("saved"), F.round(M.saving_of_message(F.col("raw"), F.col("capped")), 6).alias("ratio"))
 
 
 @query(
@@ -58,11 +114,24 @@ def outcomes(t: Tables) -> DataFrame:
     return I.outcome(I.plan_ingest(t("documents"))).select("doc_id", "outcome")
 
 
+@query("a13_ratios", f"WITH {_PLAN} SELECT bank_id, sum(raw_tokens)::BIGINT AS raw, sum(capped_tokens)::BIGINT AS capped, CASE WHEN sum(raw_tokens) > 0 AND sum(capped_tokens) > 0 THEN round(1 - sum(capped_tokens) / sum(raw_tokens)::DOUBLE, 6) END AS ratio FROM planned GROUP BY 1")
+def saving_ratios(t: Tables) -> DataFrame:
+    sums = I.plan_ingest(t("documents")).groupBy("bank_id").agg(F.sum("raw_tokens").alias("raw"), F.sum("capped_tokens").alias("capped"))
+    return sums.select("bank_id", "raw", "capped", F.round(M.saving(F.col("raw"), F.col("capped")), 6).alias("ratio"))
+
+
 @query("a13_savings", f"WITH {_PLAN} SELECT bank_id, doc_id, 'retain_cap_saving' AS kind, '{{\"raw_tokens\":' || raw_tokens || ',\"capped_tokens\":' || capped_tokens || '}}' AS detail FROM planned WHERE raw_tokens > capped_tokens")
 def savings(t: Tables) -> DataFrame:
     return I.savings_ledger(I.plan_ingest(t("documents")))
 
 
+@query("i9_rejoined", r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS chars, true AS fits, length(text) <= 3000 AS whole FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\S')")
+def rejoined(t: Tables) -> DataFrame:
+    """Chunks hold all that is not blank, none is over 3,000 characters, and a text that fits is one chunk."""
+    rows = I.chunks(t("documents")).groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk", r"\s+", ""))).alias("chars"), (F.max(F.length("chunk")) <= 3000).alias("fits"), (F.count(F.lit(1)) == 1).alias("whole"))
+    return rows.filter("chars > 0")
+
+
 @query("i9_chunks")
 def chunks(t: Tables) -> DataFrame:
     return I.chunks(t("documents"))
@@ -98,11 +167,16 @@ def degenerate(t: Tables) -> DataFrame:
 
 @query(
     "i13_augmented",
-    """WITH n AS (SELECT id, text, strftime(make_timestamp(occurred_start * 1000), '%B %Y') AS s, strftime(make_timestamp(occurred_end * 1000), '%B %Y') AS e FROM memory_nodes)
-SELECT id, text || CASE WHEN s IS NULL THEN '' WHEN e IS NULL OR s = e THEN ' (happened in ' || s || ')' ELSE ' (happened from ' || s || ' to ' || e || ')' END AS augmented FROM n""",
+    """WITH f AS (SELECT document_id, fact_index, list_filter(entities, lambda x: x IS NOT NULL) AS e FROM archive_facts QUALIFY row_number() OVER (PARTITION BY document_id, fact_index ORDER BY row_id) = 1),
+n AS (SELECT id, text, strftime(make_timestamp(occurred_start * 1000), '%B %Y') AS s, strftime(make_timestamp(occurred_end * 1000), '%B %Y') AS e, f.e AS names FROM memory_nodes m LEFT JOIN f ON f.document_id = m.document_id AND f.fact_index = m.fact_index)
+SELECT id, text || CASE WHEN s IS NULL THEN '' WHEN e IS NULL OR s = e THEN ' (happened in ' || s || ')' ELSE ' (happened from ' || s || ' to ' || e || ')' END || CASE WHEN len(names) > 0 THEN ' [' || array_to_string(names, ', ') || ']' ELSE '' END AS augmented FROM n""",
 )
 def augmented(t: Tables) -> DataFrame:
-    return t("memory_nodes").select("id", I.augmented(F.col("text"), F.col("occurred_start"), F.col("occurred_end"), F.lit(None).cast("array<string>")).alias("augmented"))
+    from mnestra.operators.retrieval import top
+
+    first = top(t("archive_facts"), ["document_id", "fact_index"], [F.col("row_id")], 1, "_n").select("document_id", "fact_index", F.filter("entities", lambda x: x.isNotNull()).alias("names"))
+    rows = t("memory_nodes").join(first, ["document_id", "fact_index"], "left")
+    return rows.select("id", I.augmented(F.col("text"), F.col("occurred_start"), F.col("occurred_end"), F.col("names")).alias("augmented"))
 
 
 @query("i14_normalised", f"WITH {D.VECTORS} SELECT node_id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS total, len(v) AS dim FROM vecs")
@@ -128,9 +202,21 @@ def jobs(t: Tables) -> DataFrame:
     return I.job_state(rows.select(F.col("o_orderkey").alias("job_id"), ok.alias("ok"), F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).otherwise(0).cast("long").alias("facts"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")).alias("aborted")))
 
 
-@query("i20_banks", "SELECT doc_id, CASE WHEN starts_with(bank_id, 'coder::') THEN 'coding' ELSE split_part(bank_id, '::', 1) || '::' || split_part(bank_id, '::', 2) END AS bank FROM documents")
+@query("i17_stale", ORACLE["i16_jobs"].replace("WHEN open = chunks THEN 'pending' WHEN open > 0 THEN 'running'", "WHEN open > 0 THEN 'failed'"))
+def stale(t: Tables) -> DataFrame:
+    return I.fail_stale(jobs(t))
+
+
+@query("i19_missions", "SELECT d.doc_id, CASE WHEN d.session_id <> '' THEN d.session_id WHEN b.mission <> '' THEN b.mission ELSE 'profile' END AS mission FROM documents d LEFT JOIN banks b ON b.bank_id = d.bank_id")
+def missions(t: Tables) -> DataFrame:
+    rows = t("documents").select("doc_id", "bank_id", "session_id").join(t("banks").select("bank_id", "mission"), "bank_id", "left")
+    return rows.select("doc_id", I.mission(F.col("session_id"), F.col("mission"), F.lit("profile")).alias("mission"))
+
+
+@query("i20_banks", "SELECT doc_id, CASE WHEN starts_with(bank_id, 'coder::') THEN 'coding' ELSE split_part(bank_id, '::', 1) || '::' || split_part(bank_id, '::', 2) END AS bank FROM documents")  # every third is in a worktree
 def banks(t: Tables) -> DataFrame:
-    cwd = F.concat(F.lit("/work/"), F.replace("bank_id", F.lit("::"), F.lit("/")))
+    tree = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/.worktrees/w"), F.col("doc_id").cast("string"), F.lit("/src"))).otherwise("")
+    cwd = F.concat(F.lit("/work/"), F.replace("bank_id", F.lit("::"), F.lit("/")), tree)
     return t("documents").select("doc_id", I.derive_bank(cwd, F.substring_index("bank_id", "::", 1), {"/work/coder": "coding"}).alias("bank"))
 
 
@@ -260,15 +346,16 @@ def ranking(t: Tables) -> DataFrame:
 
 @query(
     "a16_macro",
-    f"""WITH {_LAB}, s AS (SELECT ir.*, n.fact_type AS stratum FROM ir JOIN memory_nodes n ON n.id = ir.qid), g AS (SELECT CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, count(*) AS queries, avg(recall_10) AS r, avg(mrr) AS m FROM s GROUP BY ROLLUP (stratum))
-SELECT stratum, queries, floor(r * 100000.0::DOUBLE + 0.5::DOUBLE) / 100000.0::DOUBLE AS recall_10, floor(m * 100000.0::DOUBLE + 0.5::DOUBLE) / 100000.0::DOUBLE AS mrr FROM g""",
+    f"""WITH {_LAB}, q AS (SELECT DISTINCT qid FROM lab), s AS (SELECT q.qid, n.fact_type AS stratum, ir.recall_10, ir.mrr, ir.qid IS NOT NULL AS there FROM q JOIN memory_nodes n ON n.id = q.qid LEFT JOIN ir ON ir.qid = q.qid),
+g AS (SELECT CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, count(*) FILTER (there) AS queries, count(*) FILTER (NOT there) AS excluded, avg(recall_10) AS r, avg(mrr) AS m FROM s GROUP BY ROLLUP (stratum))
+SELECT stratum, queries, excluded, round(r, 4) AS recall_10, round(m, 4) AS mrr FROM g""",
 )
 def macro(t: Tables) -> DataFrame:
-    strata = t("memory_nodes").select(F.col("id").alias("qid"), F.col("fact_type").alias("stratum"))
-    per = _ranking(t).join(strata, "qid")
-    means = per.rollup("stratum").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall_10").alias("r"), F.avg("mrr").alias("m"), F.grouping("stratum").alias("every"))
-    five = lambda c: F.floor(F.col(c) * 100000.0 + 0.5) / 100000.0
-    return means.select(F.when(F.col("every") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "queries", five("r").alias("recall_10"), five("m").alias("mrr"))
+    """Queries all of whose labels have grade 0 are excluded and counted."""
+    labelled = t("links").filter("from_node_id <> to_node_id").filter(F.col("link_type").isin("semantic", "entity", "caused_by")).select(F.col("from_node_id").alias("qid")).distinct()
+    strata = labelled.join(t("memory_nodes").select(F.col("id").alias("qid"), F.col("fact_type").alias("stratum")), "qid")
+    means = M.macro_average(_ranking(t).select("qid", "recall_10", "mrr"), strata)
+    return means.select("stratum", "queries", "excluded", F.round("recall_10", 4).alias("recall_10"), F.round("mrr", 4).alias("mrr"))
 
 
 @query(
@@ -282,10 +369,69 @@ def trend(t: Tables) -> DataFrame:
 # --- time, text, JSON -----------------------------------------------------------------------------
 
 
-@query("t1_windows")
+#: What is asked, and the first day and the day after the last (SQL); now is 2026-07-01, a Wednesday.
+_ASKED_TIMES = (
+    ("What broke yesterday?", "DATE '2026-06-30'", "DATE '2026-07-01'"),
+    ("today we ship", "DATE '2026-07-01'", "DATE '2026-07-02'"),
+    ("plans for tomorrow", "DATE '2026-07-02'", "DATE '2026-07-03'"),
+    ("seen the day before yesterday", "DATE '2026-06-29'", "DATE '2026-06-30'"),
+    ("last week in the lab", "DATE '2026-06-22'", "DATE '2026-06-29'"),
+    ("THIS WEEK only", "DATE '2026-06-29'", "DATE '2026-07-06'"),
+    ("next week", "DATE '2026-07-06'", "DATE '2026-07-13'"),
+    ("notes of last weekend", "DATE '2026-06-27'", "DATE '2026-06-29'"),
+    ("last month's bill", "DATE '2026-06-01'", "DATE '2026-07-01'"),
+    ("this month", "DATE '2026-07-01'", "DATE '2026-08-01'"),
+    ("next month", "DATE '2026-08-01'", "DATE '2026-09-01'"),
+    ("last year", "DATE '2025-01-01'", "DATE '2026-01-01'"),
+    ("this year", "DATE '2026-01-01'", "DATE '2027-01-01'"),
+    ("a couple of days ago", "DATE '2026-06-28'", "DATE '2026-07-01'"),
+    ("a few days ago", "DATE '2026-06-26'", "DATE '2026-06-30'"),
+    ("a few weeks ago", "DATE '2026-05-27'", "DATE '2026-06-18'"),
+    ("couple of months ago", "DATE '2026-04-02'", "DATE '2026-06-02'"),
+    ("since last week", "DATE '2026-06-22'", "DATE '2026-07-02'"),
+    ("지난주 회의", "DATE '2026-06-22'", "DATE '2026-06-29'"),
+    ("지지난 달", "DATE '2026-05-01'", "DATE '2026-06-01'"),
+    ("작년 여름", "DATE '2025-01-01'", "DATE '2026-01-01'"),
+    ("어제부터", "DATE '2026-06-30'", "DATE '2026-07-02'"),
+    ("the release of 2026-03-05.", "DATE '2026-03-05'", "DATE '2026-03-06'"),
+    ("at 2026-03-05T23:30:00-05:00", "DATE '2026-03-06'", "DATE '2026-03-07'"),
+    ("2024년 2월 29일에", "DATE '2024-02-29'", "DATE '2024-03-01'"),
+    ("12월 25일에", "DATE '2025-12-25'", "DATE '2025-12-26'"),
+    ("every Monday", None, None),
+    ("before last week", None, None),
+    ("since next week", None, None),
+    ("작년까지", None, None),
+    ("on 2026-02-30", None, None),
+    ("13월 1일", None, None),
+    ("yesterdayish", None, None),
+    ("", None, None),
+)
+
+
+@query(
+    "t1_windows",
+    "SELECT fact_id, epoch_ms(CASE fact_id % {n} {first} END) AS first_ms, epoch_ms(CASE fact_id % {n} {last} END) - 1 AS last_ms, fact_id % {n} BETWEEN 26 AND 29 AS unbounded FROM inbound_facts".format(
+        n=len(_ASKED_TIMES),
+        first=" ".join(f"WHEN {i} THEN {a}::TIMESTAMP" for i, (_, a, _) in enumerate(_ASKED_TIMES) if a),
+        last=" ".join(f"WHEN {i} THEN {b}::TIMESTAMP" for i, (_, _, b) in enumerate(_ASKED_TIMES) if b),
+    ),
+)
 def windows(t: Tables) -> DataFrame:
-    rows = t("inbound_facts").select("fact_id", timex.query_window(F.col("text"), NOW_MS).alias("w"))
-    return rows.select("fact_id", "w.kind", "w.first_ms", "w.last_ms")
+    said = F.element_at(F.array(*[F.lit(x) for x, _, _ in _ASKED_TIMES]), (F.col("fact_id") % len(_ASKED_TIMES) + 1).cast("int"))
+    rows = t("inbound_facts").select("fact_id", timex.query_window(said, NOW_MS).alias("w"))
+    return rows.select("fact_id", "w.first_ms", "w.last_ms", F.coalesce(F.col("w.kind") == "unconstrainable", F.lit(False)).alias("unbounded"))
+
+
+@query(
+    "t3_dates_in_texts",
+    """WITH w AS (SELECT id, unnest(d) AS d, generate_subscripts(d, 1) AS n FROM (SELECT id, regexp_extract_all(regexp_replace(text, '\\s+', '  ', 'g'), '(?:^|\\s)[^\\p{L}\\p{N}_\\s+:-]*(\\d{4}-\\d{2}-\\d{2})[^\\p{L}\\p{N}_\\s+:-]*(?:\\s|$)', 1) AS d FROM memory_nodes WHERE NOT regexp_matches(text, '[0-9]\\s*월'))),
+f AS (SELECT id, arg_min(TRY_CAST(d AS DATE), n) FILTER (TRY_CAST(d AS DATE) IS NOT NULL) AS day FROM w GROUP BY 1)
+SELECT id, epoch_ms(day::TIMESTAMP) AS first_ms FROM f WHERE day IS NOT NULL""",
+)
+def dates_in_texts(t: Tables) -> DataFrame:
+    """The first written date of texts without Korean months; none of them says a phrase of time."""
+    rows = t("memory_nodes").filter(~F.col("text").rlike(r"[0-9]\s*월")).select("id", timex.query_window(F.col("text"), NOW_MS).alias("w"))
+    return rows.filter("w.first_ms is not null").select("id", "w.first_ms")
 
 
 _OFFSETS = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])') THEN {n}" for p, n in timex.RELATIVE_DAYS)
@@ -359,12 +505,6 @@ def sessions(t: Tables) -> DataFrame:
     return ST.fold_sessions(_events(t))
 
 
-@query("st2_confirmed")
-def confirmed(t: Tables) -> DataFrame:
-    rows = _events(t).select("bank_id", "session_id", "seq", ((F.col("seq") % 40) * 25).alias("from_offset"), ((F.col("seq") % 40) * 25 + F.col("byte_offset") % 60).alias("to_offset"))
-    return ST.confirmed_offsets(rows)
-
-
 @query(
     "st6_catch_up",
     f"WITH {_EV}, s AS (SELECT bank_id, session_id::VARCHAR AS session_id, max(byte_offset) AS byte_offset, max(ms) AS last_seen, sum(byte_offset)::BIGINT AS file_size FROM ev GROUP BY ALL) SELECT bank_id, session_id, row_number() OVER (PARTITION BY bank_id ORDER BY last_seen DESC, session_id) AS nth FROM s WHERE file_size > byte_offset QUALIFY nth <= 3",

@@ -79,28 +79,17 @@ def next_round(t: Tables) -> DataFrame:
 
 @query(
     "i4_tool_inputs",
-    """WITH c AS (SELECT row_id, map_entries(metadata) AS m, text FROM archive_facts WHERE metadata IS NOT NULL),
-k AS (SELECT row_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '... (+' || (length(text) - 100) || ' chars)' ELSE text END AS command FROM c) SELECT * FROM k""",
+    """WITH c AS (SELECT row_id, text, context, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '... (+' || (length(text) - 100) || ' chars)' ELSE text END AS command FROM archive_facts),
+s AS (SELECT *, length('{"command":' || to_json(command)::VARCHAR || ',"note":' || to_json(coalesce(context, '-'))::VARCHAR || ',"other":' || to_json(command)::VARCHAR || '}') > 250 AS long FROM c)
+SELECT row_id, command, CASE WHEN long THEN '_truncated_fields,command' ELSE 'command,note,other' END AS keys, CASE WHEN long THEN '["note","other"]' END AS dropped FROM s""",
 )
 def tool_inputs(t: Tables) -> DataFrame:
+    """A command and two fields that are not among the telling ones; above 250 characters in all they are only named."""
     from mnestra.operators.ingest import compact_tool_input
 
-    rows = t("archive_facts").filter("metadata is not null")
-    made = compact_tool_input(F.create_map(F.lit("command"), F.col("text")), 100, 100_000)
-    return rows.select("row_id", made["command"].alias("command"))
-
-
-@query(
-    "i6_touched_files",
-    """WITH f AS (SELECT bank_id, row_id, unnest(tags) AS tag FROM archive_facts), p AS (SELECT bank_id, substring(tag, 6) AS file, min(row_id) AS first FROM f WHERE starts_with(tag, 'file:') AND substring(tag, 6) <> '' GROUP BY ALL)
-SELECT bank_id AS session_id, string_agg(file, ',' ORDER BY first, file) AS files FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY first, file) <= 20) GROUP BY 1""",
-)
-def files_touched(t: Tables) -> DataFrame:
-    from mnestra.operators.ingest import touched_files
-
-    tags = t("archive_facts").select("bank_id", "row_id", F.explode("tags").alias("tag")).filter("tag like 'file:%'")
-    calls = tags.select(F.col("bank_id").alias("session_id"), F.col("row_id").alias("turn"), F.lit(0).alias("nth"), F.lit("assistant").alias("role"), F.lit("Edit").alias("name"), F.concat(F.lit("/w/"), F.substring("tag", 6, 600)).alias("file_path"), F.lit(None).cast("string").alias("notebook_path"), F.lit("/w").alias("cwd"))
-    return touched_files(calls).select("session_id", F.array_join("files", ",").alias("files"))
+    given = F.create_map(F.lit("command"), F.col("text"), F.lit("note"), F.coalesce("context", F.lit("-")), F.lit("other"), F.col("text"))
+    rows = t("archive_facts").select("row_id", compact_tool_input(given, 100, 250).alias("m"))
+    return rows.select("row_id", F.col("m")["command"].alias("command"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.col("m")["_truncated_fields"].alias("dropped"))
 
 
 @query(
@@ -114,6 +103,13 @@ def prompts(t: Tables) -> DataFrame:
     return n.select("id", C.twin_prompt(F.col("text"), F.coalesce("context", F.lit(""))).alias("twin"), extraction_prompt(F.col("text"), F.col("mentioned_at"), F.lit("keep")).alias("extraction"))
 
 
-@query("f15_labels", "SELECT id, CASE WHEN length(text) > 160 THEN substring(text, 1, 159) || '…' ELSE text END AS label, starts_with(uuid, 'mcp__') AS operational FROM memory_nodes")
+@query(
+    "f15_labels",
+    """WITH n AS (SELECT id, text, 'mcp__store__' || split_part('recall_it,Retain,reflect,do_search,extract_all,create_x,delete_x,update_x,get_x,list_x,write,grow', ',', (id % 12 + 1)::INT) AS tool FROM memory_nodes)
+SELECT id, CASE WHEN length(text) > 160 THEN substring(text, 1, 159) || '…' ELSE text END AS label, id % 12 < 10 AND id % 5 <> 0 AS operational FROM n""",
+)
 def labels(t: Tables) -> DataFrame:
-    return t("memory_nodes").select("id", T.label(F.col("text")).alias("label"), T.operational_tool(F.col("uuid")).alias("operational"))
+    """Ten tools that only operate the store and two that do not; every fifth name has no namespace."""
+    tools = F.array(*map(F.lit, ("recall_it", "Retain", "reflect", "do_search", "extract_all", "create_x", "delete_x", "update_x", "get_x", "list_x", "write", "grow")))
+    name = F.concat(F.when(F.col("id") % 5 == 0, "store__").otherwise("mcp__store__"), F.element_at(tools, (F.col("id") % 12 + 1).cast("int")))
+    return t("memory_nodes").select("id", T.label(F.col("text")).alias("label"), T.operational_tool(name).alias("operational"))

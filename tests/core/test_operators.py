@@ -174,8 +174,8 @@ def test_histogram_quantiles(spark):
 
 def test_macro_average(spark):
     per = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.5)], "qid long, mrr double")
-    strata = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "qid long, stratum string")
-    assert rows(M.macro_average(per, strata), "stratum", "queries", "mrr") == [("a", 2, 0.5), ("all", 3, 0.5), ("b", 1, 0.5)]
+    strata = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "qid long, stratum string")
+    assert rows(M.macro_average(per, strata), "stratum", "queries", "excluded", "mrr") == [("a", 2, 0, 0.5), ("all", 3, 1, 0.5), ("b", 1, 1, 0.5)]
 
 
 def test_chunks():
