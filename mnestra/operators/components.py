@@ -64,8 +64,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, group: str | No
     if group is not None:
         clean = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col(group).alias("g")).filter("u is not null and v is not null").distinct()
         clean = materialise(clean, "edges")
-        sized = clean.groupBy("g").agg((F.count(F.lit(1)) > group_edges).alias("large"))
-        placed = clean.join(sized, clean["g"].eqNullSafe(sized["g"])).select(clean["g"], "u", "v", "large")
+        sized = clean.groupBy(F.col("g").alias("_g")).agg((F.count(F.lit(1)) > group_edges).alias("large"))
+        placed = clean.join(sized, F.col("g").eqNullSafe(F.col("_g"))).select("g", "u", "v", "large")
         small = placed.filter("not large").groupBy("g").applyInPandas(_joined, "node long, component long")
         if not sized.filter("large").limit(1).count():
             return small

@@ -16,7 +16,7 @@ def test_the_core_stands_without_the_llm_folder(monkeypatch):
 
     def without(name, *rest):
         if name.startswith("mnestra.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *rest)
 
     monkeypatch.setattr(entry.importlib, "import_module", without)

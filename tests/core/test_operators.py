@@ -158,6 +158,11 @@ def test_components(spark):
     got = dict(rows(connected_components(spark.createDataFrame(edges, "src long, dst long")), "node", "component"))
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+    grouped = [(g * 1000 + a, g * 1000 + b, g) for g in (1, 2, None) for a, b in ((1, 2), (2, 3), (5, 4), (7, 7)) if g] + [(1, 2, None), (None, 3, None)]
+    df = spark.createDataFrame(grouped, "src long, dst long, g long")
+    want = {g * 1000 + n: g * 1000 + c for g in (1, 2) for n, c in ((1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7))} | {1: 1, 2: 1}
+    for most in (500_000, 1):  # in one task a group, and by rounds
+        assert dict(rows(connected_components(df, group="g", group_edges=most), "node", "component")) == want
     with pytest.raises(RuntimeError):
         connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long"), max_rounds=1)
 
