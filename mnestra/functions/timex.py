@@ -40,16 +40,16 @@ PERIODS = (
 )
 #: Words that make a time recur, bound it above or bound it below.
 RECURRING = ("매일", "매주", "매달", "매월", "매년", "격일", "격주", "날마다", "주마다", "달마다", "해마다")
-UNITS = "days?|weeks?|weekend|months?|years?|morning|evening|night|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
+UNITS = ("day", "days", "week", "weeks", "weekend", "month", "months", "year", "years", "morning", "evening", "night", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 BEFORE = (("before", "until", "up to"), ("이전", "까지"))
 SINCE = (("since", "after"), ("부터", "이후"))
 #: Phrases of a fact in the order in which they are tried, with their offset in days.
 RELATIVE_DAYS = (
-    ("last night", -1), ("yesterday", -1), ("today", 0), ("this morning", 0), ("this afternoon", 0), ("this evening", 0), ("tonigh?t", 0),
+    ("last night", -1), ("yesterday", -1), ("today", 0), ("this morning", 0), ("this afternoon", 0), ("this evening", 0), ("tonight", 0), ("tonigt", 0),
     ("tomorrow", 1), ("last week", -7), ("this week", 0), ("next week", 7), ("last month", -30), ("this month", 0), ("next month", 30),
 )
 
-_RECURS = re.compile(rf"(?:{'|'.join(RECURRING)})|(?<!\w)(?:every|each)(?!\w)\s*(?:{UNITS})(?!\w)")
+_RECURS = re.compile(rf"(?:{'|'.join(RECURRING)})|(?<!\w)(?:every|each)(?!\w)\s*(?:{'|'.join(UNITS)})(?!\w)")
 _ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
 _KOREAN = re.compile(r"(?:(?<!\d)(\d{4})\s*년\s*)?(?<!\d)(\d{1,4})\s*월\s*(\d{1,4})\s*일")
 

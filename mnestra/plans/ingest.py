@@ -434,12 +434,18 @@ def dates_in_texts(t: Tables) -> DataFrame:
     return rows.filter("w.first_ms is not null").select("id", "w.first_ms")
 
 
-_OFFSETS = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])') THEN {n}" for p, n in timex.RELATIVE_DAYS)
+_DAY_OFFSETS = (
+    ("last night", -1), ("yesterday", -1), ("today", 0), ("this morning", 0), ("this afternoon", 0), ("this evening", 0), ("tonight", 0), ("tonigt", 0),
+    ("tomorrow", 1), ("last week", -7), ("this week", 0), ("next week", 7), ("last month", -30), ("this month", 0), ("next month", 30),
+)
+_OFFSETS = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])') THEN {n}" for p, n in _DAY_OFFSETS)
+_SAID = "(SELECT id, event_date, ['Last night ', 'as of today: ', 'this week ', 'tonigt ', 'next month, ', 'nothing ', 'TOMORROW ', 'lastweek '][id % 8 + 1] || text AS text FROM memory_nodes)"
 
 
-@query("t6_relative_days", f"SELECT id, (event_date // {D.DAY_MS} + CASE {_OFFSETS} END) * {D.DAY_MS} AS day_ms FROM memory_nodes")
+@query("t6_relative_days", f"SELECT id, (event_date // {D.DAY_MS} + CASE {_OFFSETS} END) * {D.DAY_MS} AS day_ms FROM {_SAID}")
 def relative_days(t: Tables) -> DataFrame:
-    return t("memory_nodes").select("id", timex.relative_day(F.col("text"), F.col("event_date")).alias("day_ms"))
+    said = F.element_at(F.array(*map(F.lit, ("Last night ", "as of today: ", "this week ", "tonigt ", "next month, ", "nothing ", "TOMORROW ", "lastweek "))), (F.col("id") % 8 + 1).cast("int"))
+    return t("memory_nodes").select("id", timex.relative_day(F.concat(said, "text"), F.col("event_date")).alias("day_ms"))
 
 
 @query("t7_iso", "SELECT row_id, epoch_us(occurred_start::TIMESTAMPTZ) // 1000 AS ms FROM archive_facts")
