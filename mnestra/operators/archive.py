@@ -90,7 +90,9 @@ def parse_archive(files: DataFrame, strict: bool = True) -> Archive:
     documents = documents.withColumn("n_facts", F.greatest(F.size("facts"), F.lit(0))).drop("facts")
     objects = F.from_json("content", f"array<struct<{OBSERVATION}>>")
     observations = part.filter("observations <> ''").select("archive", F.col("path").alias("file"), F.posexplode(objects).alias("position", "o")).select("archive", "file", "position", "o.*")
-    return Archive(manifests, documents, facts, observations.withColumn("proof_count", F.coalesce("proof_count", F.lit(1))))
+    observations = observations.withColumn("proof_count", F.coalesce("proof_count", F.lit(1)))
+    # read once: every rule and every count goes over them again
+    return Archive(*[materialise(df, name) for df, name in ((manifests, "manifests"), (documents, "archive-documents"), (facts, "archive-facts"), (observations, "archive-observations"))])
 
 
 def archive_files(facts: DataFrame, texts: DataFrame, observations: DataFrame, claims: DataFrame, per_file: int = 500) -> DataFrame:

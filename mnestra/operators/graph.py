@@ -130,6 +130,32 @@ def view_nodes(nodes: DataFrame, types: list[str] | None = None, since: int | No
     return nodes if limit is None else top(nodes, ["bank_id"], [F.desc("id")], limit, "nth").drop("nth")
 
 
+def names_of_nodes(nodes: DataFrame, entities: DataFrame, node_entities: DataFrame) -> DataFrame:
+    """(node_id, names): the entities of every node of a view, by name.  ``entities(id, name)``, ``node_entities(node_id, entity_id)``."""
+    wanted = node_entities.select("node_id", "entity_id").distinct().join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    return wanted.join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").groupBy("node_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def node_detail(nodes: DataFrame, tags: DataFrame, entities: DataFrame, node_entities: DataFrame, sources: DataFrame, links: DataFrame, most: int = 50, per_type: int = 20) -> DataFrame:
+    """(node_id, tags, names, source_ids, cited_by, neighbours) of every node, as arrays or null.
+
+    At most ``most`` sources and citing observations, the least ids; ``neighbours`` are (link_type, other_id, weight), the heaviest ``per_type`` of each type.
+    """
+    listed = lambda df, by, value, name: df.groupBy(F.col(by).alias("node_id")).agg(F.array_sort(F.collect_list(value)).alias(name))
+    near = neighbours(links, per_type).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("link_type", "nth", "other_id", "weight"))), lambda x: F.struct(x["link_type"].alias("link_type"), x["other_id"].alias("other_id"), x["weight"].alias("weight"))).alias("neighbours"))
+    out = nodes.select(F.col("id").alias("node_id"))
+    parts = (
+        listed(tags, "node_id", "tag", "tags"),
+        names_of_nodes(nodes, entities, node_entities),
+        listed(top(sources, ["observation_id"], [F.col("source_id")], most, "nth"), "observation_id", "source_id", "source_ids"),
+        listed(top(sources, ["source_id"], [F.col("observation_id")], most, "nth"), "source_id", "observation_id", "cited_by"),
+        near,
+    )
+    for part in parts:
+        out = out.join(part, "node_id", "left")
+    return out
+
+
 def induced_edges(nodes: DataFrame, links: DataFrame, per_node: int = 50) -> DataFrame:
     """Links with both ends among the nodes of a bank; at most ``per_node`` times the number of its nodes."""
     ends = nodes.select("id", "bank_id")

@@ -314,20 +314,26 @@ def chunks(documents: DataFrame, key: str = "doc_id", most: int = 3000) -> DataF
 # --- facts ----------------------------------------------------------------------------------------
 
 REPLY = (
-    "array<struct<what:string,factual_core:string,text:string,when:string,who:string,why:string,fact_kind:string,fact_type:string,"
-    "occurred_start:string,occurred_end:string,entities:array<string>,causal_relations:array<struct<target_index:bigint,relation_type:string>>>>"
+    "array<struct<what:variant,factual_core:variant,text:variant,when:variant,who:variant,why:variant,fact_kind:variant,fact_type:variant,"
+    "occurred_start:variant,occurred_end:variant,entities:array<string>,causal_relations:array<struct<target_index:bigint,relation_type:string>>>>"
 )
 
 
+_SAID = ("what", "factual_core", "text", "when", "who", "why", "fact_kind", "fact_type", "occurred_start", "occurred_end")
+
+
 def parse_facts(replies: DataFrame, key: str = "reply_id") -> DataFrame:
     """Facts of replies ``(key, reply, event_ms)``, reply being a JSON array or an object with ``facts``.
 
+    A field that is no string counts as absent, as do empty ones and "n/a".
     Facts without information or of over 2,000 characters go; at most 32 entities
     of at most 256 characters and two causes that stand before the fact stay; the
     positions of causes are renumbered after the facts that went.
     """
     whole = F.coalesce(F.from_json(F.get_json_object("reply", "$.facts"), REPLY), F.from_json("reply", REPLY))
     rows = replies.select(key, "event_ms", F.posexplode(whole).alias("raw_index", "f")).filter("f is not null")
+    said = lambda name: F.when(F.schema_of_variant(F.col(f"f.{name}")) == "STRING", F.try_variant_get(F.col(f"f.{name}"), "$", "string")).alias(name)
+    rows = rows.select(key, "event_ms", "raw_index", F.explode(F.array(F.struct(*[said(c) for c in _SAID], "f.entities", "f.causal_relations"))).alias("f"))  # read once, not at every use
     v = lambda name: T.truthy(F.col(f"f.{name}"))
     text = F.concat_ws(" | ", F.coalesce(v("what"), v("factual_core"), v("text")), F.concat(F.lit("When: "), v("when")), F.concat(F.lit("Involving: "), v("who")), v("why"))
     rows = rows.withColumn("fact", F.when(F.coalesce(v("what"), v("factual_core"), v("text")).isNotNull(), text))

@@ -109,6 +109,26 @@ def importable(t: Tables) -> DataFrame:
     return A.importable(_archive(t))
 
 
+@query(
+    "v3_whole_import",
+    f"""WITH {_F}, {_O}, ok AS (SELECT archive_id, bank_id FROM claims WHERE facts % 5 <> 0 AND facts % 3 <> 0 AND facts % 11 <> 0),
+n AS (SELECT f.*, ok.bank_id AS bank FROM f JOIN ok ON ok.archive_id = f.archive_id WHERE coalesce(occurred_start, mentioned_at) IS NOT NULL),
+o AS (SELECT ob.* FROM ob JOIN ok ON ok.archive_id = ob.archive_id WHERE coalesce(ob.occurred_start, ob.mentioned_at, ob.event_date) IS NOT NULL AND NOT EXISTS (SELECT 1 FROM os WHERE os.id = ob.id AND NOT EXISTS (SELECT 1 FROM f WHERE f.archive_id = os.archive_id AND f.document_id = os.document_id AND f.place = os.fact_index))),
+s AS (SELECT DISTINCT os.archive_id, os.id, n.document_id, n.place FROM os JOIN o ON o.id = os.id JOIN n ON n.archive_id = os.archive_id AND n.document_id = os.document_id AND n.place = os.fact_index),
+c AS (SELECT DISTINCT x.archive_id, x.document_id, x.place, y.place AS goal FROM (SELECT archive_id, document_id, place, unnest(causal_relations).target_fact_index AS target FROM n) x JOIN n y ON y.archive_id = x.archive_id AND y.document_id = x.document_id AND y.place = x.target WHERE x.place <> x.target)
+SELECT ok.bank_id, (SELECT count(DISTINCT document_id) FROM f WHERE f.archive_id = ok.archive_id) AS documents, (SELECT count(*) FROM n WHERE n.archive_id = ok.archive_id) AS facts, (SELECT count(*) FROM o WHERE o.archive_id = ok.archive_id) AS observations,
+(SELECT count(*) FROM s WHERE s.archive_id = ok.archive_id) AS proofs, (SELECT count(*) FROM c WHERE c.archive_id = ok.archive_id) AS causal FROM ok""",
+)
+def whole_import(t: Tables) -> DataFrame:
+    from mnestra.plans.pipelines import import_whole
+
+    made = import_whole(_archive(t), t("memory_nodes"))
+    nodes = made["nodes"]
+    counts = nodes.groupBy("bank_id").agg(F.count("document_id").alias("facts"), F.count_if(F.col("document_id").isNull()).alias("observations"), F.sum("proof_count").alias("proofs"))
+    causal = made["causal"].join(nodes.select(F.col("id").alias("from_node_id"), "bank_id"), "from_node_id").groupBy("bank_id").agg(F.count(F.lit(1)).alias("causal"))
+    return made["documents"].groupBy("bank_id").agg(F.count(F.lit(1)).alias("documents")).join(counts, "bank_id").join(causal, "bank_id", "left").fillna(0)
+
+
 _SIMPLE = "SELECT archive_id, '{0}' AS c, 0 AS e, count(*) AS a FROM {1} GROUP BY 1"
 _CHECKS = f"""WITH {D.MEMBERS}, {D.TAGS}, {D.SOURCES}, asked AS (SELECT archive_id, min(bank_id) AS bank_id, max(watermark) AS watermark, max(node_sources) AS node_sources FROM bank_reports GROUP BY 1),
 uf AS (SELECT archive_id, document_id, fact_index, min(fact_type) AS fact_type, any_value(tags) AS tags, any_value(causal_relations) AS causal_relations FROM archive_facts GROUP BY 1, 2, 3),

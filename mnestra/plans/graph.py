@@ -156,22 +156,27 @@ def neighbours(t: Tables) -> DataFrame:
 e AS (SELECT m.node_id, string_agg(e.name, ',' ORDER BY e.name) AS names FROM (SELECT DISTINCT node_id, entity_id FROM members) m JOIN ent e ON e.id = m.entity_id GROUP BY 1),
 s AS (SELECT observation_id AS node_id, string_agg(source_id, ',' ORDER BY source_id) AS source_ids FROM (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY source_id) <= 50) GROUP BY 1),
 c AS (SELECT source_id AS node_id, string_agg(observation_id, ',' ORDER BY observation_id) AS cited_by FROM (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY observation_id) <= 50) GROUP BY 1),
-g AS (SELECT node_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tagged GROUP BY 1)
-SELECT n.id AS node_id, g.tags, e.names, s.source_ids, c.cited_by FROM memory_nodes n LEFT JOIN g ON g.node_id = n.id LEFT JOIN e ON e.node_id = n.id LEFT JOIN s ON s.node_id = n.id LEFT JOIN c ON c.node_id = n.id""",
+g AS (SELECT node_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tagged GROUP BY 1),
+np AS (SELECT from_node_id AS node_id, to_node_id AS other_id, link_type, weight FROM links UNION ALL SELECT to_node_id, from_node_id, link_type, weight FROM links),
+nm AS (SELECT node_id, link_type, other_id, row_number() OVER (PARTITION BY node_id, link_type ORDER BY max(weight) DESC, other_id) AS nth FROM np WHERE node_id <> other_id GROUP BY node_id, link_type, other_id QUALIFY nth <= 20),
+nb AS (SELECT node_id, string_agg(link_type || ':' || other_id, ',' ORDER BY link_type, nth) AS near FROM nm GROUP BY 1)
+SELECT n.id AS node_id, g.tags, e.names, s.source_ids, c.cited_by, nb.near FROM memory_nodes n LEFT JOIN g ON g.node_id = n.id LEFT JOIN e ON e.node_id = n.id LEFT JOIN s ON s.node_id = n.id LEFT JOIN c ON c.node_id = n.id LEFT JOIN nb ON nb.node_id = n.id""",
 )
 def detail(t: Tables) -> DataFrame:
-    joined = lambda df, by, value, name: df.groupBy(F.col(by).alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",").alias(name))
-    names = D.node_entities(t).select("node_id", "entity_id").distinct().join(D.entities(t).select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    src = D.sources(t)
-    out = t("memory_nodes").select(F.col("id").alias("node_id"))
-    for part in (
-        joined(D.node_tags(t), "node_id", "tag", "tags"),
-        joined(names, "node_id", "name", "names"),
-        joined(top(src, ["observation_id"], [F.col("source_id")], 50, "nth"), "observation_id", "source_id", "source_ids"),
-        joined(top(src, ["source_id"], [F.col("observation_id")], 50, "nth"), "source_id", "observation_id", "cited_by"),
-    ):
-        out = out.join(part, "node_id", "left")
-    return out
+    rows = G.node_detail(t("memory_nodes"), D.node_tags(t), D.entities(t), D.node_entities(t), D.sources(t), t("links"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    near = F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["link_type"], x["other_id"].cast("string"))), ",").alias("near")
+    return rows.select("node_id", *[text(c) for c in ("tags", "names", "source_ids", "cited_by")], near)
+
+
+@query(
+    "g7_view_names",
+    f"""WITH {D.MEMBERS}, n AS (SELECT id FROM memory_nodes WHERE fact_type = 'experience' QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY id DESC) <= 30)
+SELECT m.node_id, string_agg(e.name, ',' ORDER BY e.name) AS names FROM (SELECT DISTINCT node_id, entity_id FROM members) m JOIN ent e ON e.id = m.entity_id WHERE m.node_id IN (SELECT id FROM n) GROUP BY 1""",
+)
+def view_names(t: Tables) -> DataFrame:
+    view = G.view_nodes(t("memory_nodes"), ["experience"], limit=30)
+    return G.names_of_nodes(view, D.entities(t), D.node_entities(t)).select("node_id", F.array_join("names", ",").alias("names"))
 
 
 @query(

@@ -160,6 +160,19 @@ def facts(t: Tables) -> DataFrame:
     return I.parse_facts(_replies(t)).select("reply_id", "fact_index", "text", "fact_type", "fact_kind", F.size("causes").alias("causes"))
 
 
+@query(
+    "i12_falsy",
+    """WITH f AS (SELECT id, text, id % 6 AS k FROM memory_nodes) SELECT id AS reply_id, CASE k WHEN 0 THEN text ELSE 'core' END || CASE WHEN k = 4 THEN ' | Involving: me' ELSE '' END AS text FROM f""",
+)
+def falsy(t: Tables) -> DataFrame:
+    """What a fact says is a text, a number, null, an empty string, "n/A" or a list; all but the first give way to its core."""
+    k = F.col("id") % 6
+    what = F.when(k == 0, F.to_json(F.struct(F.col("text").alias("what")))).when(k == 1, '{"what":42}').when(k == 2, '{"what":null}').when(k == 3, '{"what":""}').when(k == 4, '{"what":"n/A"}').otherwise('{"what":["x"]}')
+    rest = F.concat(F.lit(',"factual_core":"core","when":"N/A","who":'), F.when(k == 4, '"me"').otherwise("0"), F.lit("}"))
+    reply = F.concat(F.lit("["), F.regexp_replace(what, r"\}$", ""), rest, F.lit("]"))
+    return I.parse_facts(t("memory_nodes").select(F.col("id").alias("reply_id"), reply.alias("reply"), F.lit(NOW_MS).alias("event_ms"))).select("reply_id", "text")
+
+
 @query("i11_degenerate", "SELECT doc_id FROM documents WHERE text IS NULL OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR regexp_full_match(text, '[.,;:!?\\-–—…\"''`´ \\t\\n\\r]*') OR text IN ('•', '·', '*', '**', '***', '_,_', '_, _, _')")
 def degenerate(t: Tables) -> DataFrame:
     return t("documents").filter(T.degenerate(F.col("text"))).select("doc_id")

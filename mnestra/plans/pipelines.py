@@ -11,6 +11,7 @@ from mnestra.operators import curation as C
 from mnestra.operators import graph as G
 from mnestra.operators import retrieval as R
 from mnestra.operators import verify as V
+from mnestra.operators.archive import Archive, importable
 from mnestra.operators.retrieval import top
 from mnestra.plans import tables as D
 from mnestra.plans.tables import Registry, Tables
@@ -37,6 +38,36 @@ def import_archive(facts: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes.drop("causal_relations"), "causal": G.causal_links(nodes, nodes), "temporal": G.temporal_links(nodes), "watermarks": marks}
 
 
+def import_whole(found: Archive, stored: DataFrame) -> dict[str, DataFrame]:
+    """All that an import writes: documents, nodes of facts and observations, provenance, causal and temporal links, watermarks.
+
+    Archives with a violation of ``archive.importable`` that touches them as a whole stay out, as do single facts and observations with one of their own.
+    """
+    wrong = materialise(importable(found), "violations")
+    barred = wrong.filter("document_id is null").select("archive").distinct()
+    named = found.manifests.join(barred, "archive", "left_anti").select("archive", F.col("source_bank_id").alias("bank_id"))
+    bad = wrong.filter(F.col("place").isNotNull() & (F.col("rule") != "cause_out_of_range")).select("archive", "document_id", F.col("place").alias("nth")).distinct()
+    times = lambda: [iso_ms(F.col(c)).cast("long").alias(c) for c in ("occurred_start", "occurred_end", "mentioned_at")]
+    facts = found.facts.withColumn("nth", F.col("fact_index")).join(bad, ["archive", "document_id", "nth"], "left_anti").join(named, "archive")
+    facts = facts.select("archive", "bank_id", "document_id", "fact_index", "fact_type", "text", "context", "causal_relations", *times(), F.lit(True).alias("is_fact"), F.lit(None).cast("long").alias("own_date"), F.lit(None).cast("array<struct<document_id:string,fact_index:bigint>>").alias("sources"))
+    seen = found.observations.withColumns({"document_id": F.col("file"), "nth": F.col("position").cast("long")}).join(bad, ["archive", "document_id", "nth"], "left_anti").join(named, "archive")
+    seen = seen.select("archive", "bank_id", F.col("file").alias("document_id"), F.col("nth").alias("fact_index"), F.lit("observation").alias("fact_type"), "text", F.lit(None).cast("string").alias("context"), F.lit(None).cast(dict(facts.dtypes)["causal_relations"]).alias("causal_relations"), *times(), F.lit(False).alias("is_fact"), iso_ms(F.col("event_date")).cast("long").alias("own_date"), "sources")
+    rows = facts.unionByName(seen).withColumn("event_date", F.coalesce("occurred_start", "mentioned_at", "own_date"))
+    nodes = materialise(insert_nodes(rows, stored.select("id"), ["document_id", "fact_index"]), "imported")
+    of_facts = nodes.filter("is_fact")
+    asked = nodes.filter("not is_fact").select("archive", F.col("id").alias("observation_id"), F.explode("sources").alias("s")).select("archive", "observation_id", "s.*").distinct()
+    backed = asked.join(of_facts.select("archive", "document_id", "fact_index", F.col("id").alias("source_id")), ["archive", "document_id", "fact_index"]).select("observation_id", "source_id")
+    proof = C.proof_counts(nodes, backed)
+    return {
+        "documents": found.documents.join(named, "archive").select("bank_id", "document_id", "original_text", F.sha2("original_text", 256).alias("content_hash")),
+        "nodes": nodes.withColumn("document_id", F.when(F.col("is_fact"), F.col("document_id"))).drop("causal_relations", "sources", "own_date", "is_fact").join(proof, "id"),
+        "sources": backed,
+        "causal": G.causal_links(of_facts, of_facts),
+        "temporal": G.temporal_links(nodes),
+        "watermarks": nodes.groupBy("bank_id").agg(F.max("id").alias("watermark")),
+    }
+
+
 @query(
     "v3_import",
     """WITH f AS (SELECT * FROM archive_facts QUALIFY row_number() OVER (PARTITION BY document_id, fact_index ORDER BY row_id) = 1),

@@ -80,7 +80,7 @@ def read_archives(spark: SparkSession, path: str):
     """All archives below a folder, with manifests and observations; see ``operators.archive.parse_archive``."""
     from mnestra.operators.archive import parse_archive
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return parse_archive(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
