@@ -146,8 +146,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
+def _of_banks(rows: DataFrame, banks: list[str]) -> DataFrame:
+    """Rows of some banks, of which there are at most 100,000."""
+    named = rows.sparkSession.createDataFrame([(b,) for b in banks], "bank_id string")
+    return rows.join(F.broadcast(named), "bank_id", "left_semi")
+
+
 def _sample(kinds: DataFrame, rows: int, n: int, dim: int, banks: list[str] | None) -> np.ndarray:
-    some = kinds if banks is None else kinds.filter(F.col("bank_id").isin(banks))
+    some = kinds if banks is None else _of_banks(kinds, banks)
     picked = some.filter(F.pmod(F.col("kind"), F.lit(max(1, math.ceil(n / rows)))) == 0).select("v").limit(2 * rows).toArrow()
     return _matrix(picked.column(0).combine_chunks() if picked.num_rows else pa.array([], pa.binary()), dim)
 
@@ -229,7 +235,7 @@ def similar_vectors(
 
     splits: dict[tuple[str, int], int] = {}
     if counts:
-        full = kinds.filter(F.col("bank_id").isin(list(counts))).select("bank_id", "v").mapInArrow(leaf_sizes, "bank_id string, leaf int").groupBy("bank_id", "leaf").count().filter(F.col("count") > large)
+        full = _of_banks(kinds, list(counts)).select("bank_id", "v").mapInArrow(leaf_sizes, "bank_id string, leaf int").groupBy("bank_id", "leaf").count().filter(F.col("count") > large)
         splits = {(r["bank_id"], r["leaf"]): math.ceil(r["count"] / large) for r in full.collect()}  # at most n / large, that is 100,000
     parts = spark.sparkContext.broadcast(splits)
 
