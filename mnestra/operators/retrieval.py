@@ -242,7 +242,7 @@ def graph_arm(seeds: DataFrame, store: Store, cap: int = 200) -> DataFrame:
     causal = F.col("link_type").isin(*CAUSAL)
     linked = stepped.groupBy("qid", "node_id").agg(F.max(F.when(causal, F.col("weight"))).alias("causal"), F.max(F.when(~causal, F.col("weight"))).alias("other"))
     narrow = store.entities.filter(F.col("mention_count") <= ENTITY_FAN_OUT).select(F.col("id").alias("entity_id"))
-    member = store.node_entities.join(narrow, "entity_id", "left_semi").distinct()
+    member = materialise(store.node_entities.join(narrow, "entity_id", "left_semi").distinct(), "members")
     shared = seed.join(member.withColumnRenamed("node_id", "seed"), "seed").select("qid", "bank_id", "entity_id").distinct().join(member, "entity_id")
     shared = shared.join(not_seed, ["qid", "node_id"], "left_anti").join(in_bank, ["node_id", "bank_id"], "left_semi")
     shared = shared.groupBy("qid", "node_id").agg(F.countDistinct("entity_id").alias("shared"))

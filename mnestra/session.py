@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[object, str]] = []
 _STAYING: list[tuple[object, str]] = []
-_KEPT: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
+_KEPT: dict[tuple[str, str], tuple[SparkSession, DataFrame, str]] = {}
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -81,11 +81,14 @@ def kept(build, name: str, source: DataFrame) -> DataFrame:
             status = system.getFileStatus(path(file))
             stamp.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
     known = (name, stamp.hexdigest())
-    if not files or known not in _KEPT or _KEPT[known][0] is not spark:
-        _KEPT[known] = (spark, materialise(build(), name))
-        _WRITTEN.pop()
-        _STAYING.append((spark, _KEPT[known][1].inputFiles()[0].rpartition("/")[0] if _KEPT[known][1].inputFiles() else ""))
-    return _KEPT[known][1]
+    if files and known in _KEPT:
+        owner, df, written = _KEPT[known]
+        if owner is spark and path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(written)):
+            return df
+    df = materialise(build(), name)
+    _STAYING.append(_WRITTEN.pop())
+    _KEPT[known] = (spark, df, _STAYING[-1][1])
+    return df
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -102,7 +105,7 @@ def release(spark: SparkSession | None = None) -> None:
 
 @atexit.register
 def _release_at_exit() -> None:
-    _WRITTEN.extend(x for x in _STAYING if x[1])
+    _WRITTEN.extend(_STAYING)
     if _WRITTEN:
         release()
 
