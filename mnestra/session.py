@@ -11,6 +11,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[object, str]] = []
 _STAYING: list[tuple[object, str]] = []
 _KEPT: dict[tuple[str, str], tuple[SparkSession, DataFrame, str]] = {}
@@ -53,15 +54,24 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     The files survive the loss of any executor, and the plan that follows starts
-    from them.  The schema is kept as it was.
+    from them.  The schema is kept as it was.  ``clean``: the shuffle files of
+    the writing are deleted as it ends, and not when the driver happens to
+    collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnestra-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if clean:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

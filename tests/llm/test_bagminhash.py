@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnestra.llm.bagminhash import first_points, near_duplicate_groups, near_duplicate_pairs
@@ -92,3 +93,77 @@ def test_repeated_words_count_in_multisets(spark):
     df = spark.createDataFrame(rows, "field_name string, id long, value string")
     assert {tuple(r) for r in near_duplicate_pairs(df, 0.7, multiset=True).collect()} == {("text", 1, 2), ("text", 3, 4)}
     assert len(near_duplicate_pairs(df, 0.7).collect()) == 6
+
+
+def brute_by_words(rows, t):
+    """``brute`` for many records: only those that share a word are compared."""
+    words = {n: set(WORD.findall(x.lower())) for _, n, x in rows}
+    holders = {}
+    for n, w in words.items():
+        for x in w:
+            holders.setdefault(x, set()).add(n)
+    return {("text", a, b) for a, w in words.items() for b in set().union(*[holders[x] for x in w if x[0] == "n"]) if a < b and len(w & words[b]) / len(w | words[b]) >= t}
+
+
+def frequent_names(records):
+    """Records of 16 words: a template's four, and twelve of 80 names, so that every name stands in a seventh of all records."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(records):
+        names = rng.sample([f"n{i}" for i in range(80)], 12)
+        rows.append(("text", 2 * n, " ".join(["the", "of", "in", "is", *names])))
+        if n % 9 == 0:
+            rows.append(("text", 2 * n + 1, " ".join(["the", "of", "at", "is", *names[:11], f"n{n % 80}"])))
+    return rows
+
+
+@pytest.mark.parametrize("hot_word,long_key", [(4096, 100_000), (3, 100_000), (4096, 90)])
+def test_records_with_many_frequent_names(spark, hot_word, long_key):
+    rows = frequent_names(700)
+    df = spark.createDataFrame(rows, "field_name string, id long, value string")
+    got = [tuple(r) for r in near_duplicate_pairs(df, 0.7, hot_word=hot_word, long_key=long_key).collect()]
+    want = brute_by_words(rows, 0.7)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 70
+
+
+def test_small_and_large_sets_of_a_low_threshold_meet(spark):
+    rng = random.Random(8)
+    rows = [("text", n, " ".join(rng.sample([f"n{i}" for i in range(40)], rng.choice([1, 2, 3, 4, 7])))) for n in range(250)]
+    rows += [("text", 1000 + n, " ".join(f"n{i}" for i in range(n, n + size))) for n, size in enumerate([255, 256, 257, 258, 300, 600, 200, 180])]
+    df = spark.createDataFrame(rows, "field_name string, id long, value string")
+    for t in (0.3, 0.7):
+        assert {tuple(r) for r in near_duplicate_pairs(df, t, bands=1).collect()} == brute(rows, t)
+
+
+def test_frequent_words_are_met_without_the_square_of_their_records(spark, monkeypatch):
+    """The runs of frequent words are not compared whole: pairs looked at stay far below those that share a word."""
+    from mnestra.llm import bagminhash
+
+    looked, of_runs = [], bagminhash._pairs_of_runs
+
+    def counted(*args):
+        for i, j in of_runs(*args):
+            looked.append(len(i))
+            yield i, j
+
+    class Rows:  # stands for a DataFrame: runs the steps here
+        columns = ["key", "kind", "place", *bagminhash._PARITY, "rest"]
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return list(f(iter(self.batches)))
+
+    monkeypatch.setattr(bagminhash, "_pairs_of_runs", counted)
+    rng = np.random.default_rng(2)
+    words = [np.sort(rng.choice(400, 20, replace=False)) for _ in range(3000)]
+    words += [np.sort(np.append(w[:19], 401)) for w in words[:100]]
+    sets = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array([7] * len(words)), pa.array([w.tolist() for w in words], pa.list_(pa.int64()))], names=["kind", "field", "words"])
+    often = type("Often", (), {"value": np.full(bagminhash._CELLS, 150)})
+    keys = pa.Table.from_batches(bagminhash._prefix_keys(Rows([sets]), often, 0.7, 4096)).sort_by([("key", "ascending"), ("kind", "ascending")])
+    (keys,) = keys.combine_chunks().to_batches()
+    met = pa.Table.from_batches(bagminhash._meet_exactly(Rows([keys.slice(n, 500) for n in range(0, len(keys), 500)]), 0.7, None))
+    assert {(n, 3000 + n) for n in range(100)} <= set(zip(met["a"].to_pylist(), met["b"].to_pylist()))
+    lengths = np.unique(keys["key"].to_numpy(), return_counts=True)[1]
+    assert sum(looked) < 0.2 * (lengths * (lengths - 1) // 2).sum()
